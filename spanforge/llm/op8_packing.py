@@ -92,7 +92,7 @@ class WordEncoder:
                 plain.append((p, word.lower() if word.isascii() else word, mark))
             else:
                 other.append(p)
-        if new := list({w for _, w, _ in plain} - self.letters.keys()):
+        if new := list({w for _, w, _ in plain if w not in self.letters}):
             self._learn_letters(new)
         marks = {m: self._each([m])[0] for m in {m for _, _, m in plain}} | {"": []}
         self.known.update((p, self.letters[w] + marks[m] if m else self.letters[w]) for p, w, m in plain)
@@ -105,7 +105,7 @@ class WordEncoder:
             self.letters = {}
         known = self.known
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if new := set().union(*split) - known.keys():
+        if new := {w for w in set().union(*split) if w not in known}:
             self._learn(new)
         out = []
         for words in split:
