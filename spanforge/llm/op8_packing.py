@@ -51,8 +51,8 @@ class WordEncoder:
 
     Such a tokenizer never joins characters across white space, so a text's ids are
     those of its parts between spaces and line ends in turn, and those are remembered
-    up to a bound. A part of letters only, or of letters and one closing mark, is
-    looked up by its letters; new letter words are encoded in one call, whose ids are
+    up to a bound. A part of letters, or of letters and closing marks, is looked up by
+    its letters; new letter words are encoded in one call, whose ids are
     told apart by the vocabulary's word-end mark.
     """
 
@@ -63,23 +63,22 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {"": []}
-        self.letters: dict[str, list[int]] = {}
+        # ids as little-endian unsigned 32-bit bytes, which join fast and burden no collector
+        self.known: dict[str, bytes] = {"": b""}
+        self.letters: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith(self.END)
 
-    def _each(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _each(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _learn_letters(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) == len(words) and (not len(stops) or stops[-1] == len(ids)):
-            flat, at = ids.tolist(), 0
-            for w, stop in zip(words, stops.tolist(), strict=True):
-                self.letters[w] = flat[at:stop]
-                at = stop
+            flat, cuts = ids.tobytes(), (4 * stops).tolist()
+            self.letters.update((w, flat[at:stop]) for w, at, stop in zip(words, [0, *cuts], cuts, strict=False))
         else:  # the vocabulary has no such mark
             self.letters.update(zip(words, self._each(words), strict=True))
 
@@ -87,33 +86,30 @@ class WordEncoder:
         plain: list[tuple[str, str, str]] = []
         other = []
         for p in parts:
-            word, mark = (p, "") if p.isalpha() else (p[:-1], p[-1])
-            if (not mark or mark in self.MARKS) and word.isalpha():
-                plain.append((p, word.lower() if word.isascii() else word, mark))
+            word = p.rstrip(self.MARKS)
+            if word.isalpha():
+                plain.append((p, word.lower() if word.isascii() else word, p[len(word) :]))
             else:
                 other.append(p)
         if new := list({w for _, w, _ in plain if w not in self.letters}):
             self._learn_letters(new)
-        marks = {m: self._each([m])[0] for m in {m for _, _, m in plain}} | {"": []}
-        self.known.update((p, self.letters[w] + marks[m] if m else self.letters[w]) for p, w, m in plain)
+        marks = list({m for _, _, m in plain})
+        marks = dict(zip(marks, self._each(marks), strict=True))
+        letters = self.letters
+        self.known.update((p, letters[w] + marks[m] if m else letters[w]) for p, w, m in plain)
         self.known.update(zip(other, self._each(other), strict=True))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit bytes."""
         if len(self.known) > CACHE_WORDS:
-            self.known = {"": []}
+            self.known = {"": b""}
         if len(self.letters) > CACHE_WORDS:
             self.letters = {}
-        known = self.known
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if new := {w for w in set().union(*split) if w not in known}:
+        if new := {w for w in set().union(*split) if w not in self.known}:
             self._learn(new)
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(ids)
-        return out
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -155,7 +151,7 @@ def split_block(sizes: list[int], capacity: int) -> list[list[int]]:
 class _Packer:
     def __init__(self, window: int, first_sequence: int) -> None:
         self.window, self.next = window, first_sequence
-        self.items: list[tuple] = []  # doc_id, start, ids, doc_tokens
+        self.items: list[tuple] = []  # doc_id, start, bytes of ids, doc_tokens
         self.held = 0
         self.room = BLOCK_WINDOWS * (window - SLACK)
         self.rows: list[tuple] = []
@@ -163,23 +159,24 @@ class _Packer:
     def _sequence(self, items: list[tuple]) -> None:
         offset = 0
         for doc_id, start, ids, total in items:
-            self.rows.append((doc_id, start, len(ids), crc32(ids.tobytes()), total, self.next, offset))
-            offset += len(ids)
+            self.rows.append((doc_id, start, len(ids) // 4, crc32(ids), total, self.next, offset))
+            offset += len(ids) // 4
         self.next += 1
 
     def _block(self) -> None:
-        for g in split_block([len(x[2]) for x in self.items], self.window):
+        for g in split_block([len(x[2]) // 4 for x in self.items], self.window):
             self._sequence([self.items[i] for i in g])
         self.items, self.held = [], 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        n, w, at = len(ids), self.window, 0
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """A document's ids, four bytes each."""
+        n, w, at = len(ids) // 4, self.window, 0
         while n - at >= w:
-            self._sequence([(doc_id, at, ids[at : at + w], n)])
+            self._sequence([(doc_id, at, ids[4 * at : 4 * (at + w)], n)])
             at += w
         while at < n:
             take = min(max((n - at + 1) // 2, 24), n - at, w // 4, self.room - self.held)
-            self.items.append((doc_id, at, ids[at : at + take], n))
+            self.items.append((doc_id, at, ids[4 * at : 4 * (at + take)], n))
             self.held += take
             at += take
             if self.held == self.room:
@@ -194,10 +191,10 @@ class _Packer:
             part = []
             while size:
                 doc_id, start, ids, total = items.pop()
-                if len(ids) > size:
-                    items.append((doc_id, start + size, ids[size:], total))
-                    ids = ids[:size]
-                size -= len(ids)
+                if len(ids) > 4 * size:
+                    items.append((doc_id, start + size, ids[4 * size :], total))
+                    ids = ids[: 4 * size]
+                size -= len(ids) // 4
                 part.append((doc_id, start, ids, total))
             self._sequence(part)
         self.items, self.held = [], 0
@@ -217,10 +214,11 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         packer, enc = _Packer(window, TaskContext.get().partitionId() << 40), encoder(path)
+        last = np.array([end_id], "<u4").tobytes()
         for b in slices(batches):
             ids = b.column(0).to_pylist()
             for doc_id, tokens in zip(ids, enc.encode([t.decode("utf-8", "replace") for t in texts_of(b)]), strict=True):
-                packer.add(doc_id, np.array([*tokens, end_id], "<u4"))
+                packer.add(doc_id, tokens + last)
             yield packer.drain()
         packer.finish()
         yield packer.drain()
