@@ -21,6 +21,7 @@ whole text, however long.
 from __future__ import annotations
 
 import heapq
+from unicodedata import normalize
 from zlib import crc32
 
 import numpy as np
@@ -87,7 +88,8 @@ class WordEncoder:
         other = []
         for p in parts:
             word = p.rstrip(self.MARKS)
-            if word.isalpha():
+            # beyond ASCII, a letter may be normalized to a letter and a mark of its own
+            if word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha()):
                 plain.append((p, word.lower() if word.isascii() else word, p[len(word) :]))
             else:
                 other.append(p)
