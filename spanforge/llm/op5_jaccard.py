@@ -22,8 +22,8 @@ verified against the leader (least set id) it shares most segments with; then
 against its other leaders where their components still differ; and last, segments
 whose members still lie in several components give their remaining pairs across
 components. Pairs within a component need no check, as they cannot change it.
-Before verification, pairs are bounded by their sizes and the Hamming distance of a
-short sketch.
+Before verification, pairs are bounded by their sizes and the Hamming distance of
+sketches as long as the sets; shingles are fetched only for what passes this.
 
 Edge cases: null, empty and wordless texts have an empty set and stay alone; texts of
 fewer words than a shingle are one shingle; equal rows link; a null doc_id takes the
@@ -42,11 +42,10 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import connected_labels, discard, materialize, slices, table, texts_of
 
 WIDTH = 5
-#: Bits of the short sketch carried with every set, in 64-bit words.
-SHORT_WORDS = 4
+#: Bytes of text that are hashed together, unless one text is longer.
+BATCH_BYTES = 4 << 20
 SLOT_BITS = 24
 SEEN_SETS = 1 << 16
-CACHE_WORDS = 1 << 20
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _UPPER_LOWER = bytes((c + 32 if 65 <= c <= 90 else c) for c in range(256))
 
@@ -58,33 +57,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 class Shingler:
-    """Distinct 64-bit shingle hashes of texts; word hashes are remembered up to a bound."""
+    """Distinct 64-bit shingle hashes of texts, sorted.
 
-    def __init__(self, width: int = WIDTH) -> None:
-        import xxhash
+    A word's hash is a polynomial over random values of its bytes, taken for all
+    words of a batch from one running sum, then mixed.
+    """
 
-        self.width, self.hash, self.known = width, xxhash.xxh3_64_intdigest, {}
+    BASE = 0x9E3779B97F4A7C15
+    INVERSE = pow(BASE, -1, 1 << 64)
+
+    def __init__(self, width: int = WIDTH) -> None:
+        self.width = width
+        self.values = mix(np.arange(1, 257, dtype=np.uint64) * _M3)
+        self.blank = np.zeros(256, bool)
+        self.blank[[32, *range(9, 14)]] = True
+        self.up, self.down = _powers(1 << 16, self.BASE), _powers(1 << 16, self.INVERSE)
+
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and start of every word of the bytes, which begin and end blank."""
+        a = np.frombuffer(data, np.uint8)
+        if len(a) > len(self.up):
+            self.up, self.down = _powers(2 * len(a), self.BASE), _powers(2 * len(a), self.INVERSE)
+        run = np.cumsum(self.values[a] * self.up[: len(a)])
+        edge = np.flatnonzero(np.diff(self.blank[a]))
+        start, stop = edge[0::2], edge[1::2]  # the blank before, the last byte
+        return mix((run[stop] - run[start]) * self.down[start]), start + 1
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
-        out = []
-        known, digest = self.known, self.hash
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for text in texts:
-            words = text.translate(_UPPER_LOWER).split()
-            n = len(words)
-            if not n:
+        if len(texts) > 1 and sum(map(len, texts)) > BATCH_BYTES:
+            half = len(texts) // 2
+            return self.sets(texts[:half]) + self.sets(texts[half:])
+        data = b" ".join([b"", *texts, b""]).translate(_UPPER_LOWER)
+        ends = np.cumsum([1 + len(t) for t in texts])
+        h, at = self.words(data)
+        counts = np.diff(np.searchsorted(at, ends), prepend=0)
+        g = np.full(max(len(h) - self.width + 1, 0), self.width, np.uint64)
+        for i in range(self.width):
+            g = mix(g * _M3 + h[i : i + len(g)])
+        out, low = [], 0
+        for n in counts.tolist():
+            if n >= self.width:
+                s = np.sort(g[low : low + n - self.width + 1])
+                out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+            elif n:
+                whole = np.full(1, n, np.uint64)
+                for i in range(n):
+                    whole = mix(whole * _M3 + h[low + i])
+                out.append(whole)
+            else:
                 out.append(np.zeros(0, np.uint64))
-                continue
-            for w in [w for w in set(words) if w not in known]:
-                known[w] = digest(w)
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, n)
-            k = min(self.width, n)
-            g = np.full(n - k + 1, k, np.uint64)
-            for i in range(k):
-                g = mix(g * _M3 + h[i : n - k + 1 + i])
-            out.append(np.unique(g))
+            low += n
         return out
 
 
@@ -127,22 +156,26 @@ def segment_keys(s: np.ndarray, band: int) -> np.ndarray:
     per set bit, so tokens that fall on one bit cancel out, as parities do.
     """
     k, agree = segments_of(band)
-    segment = ((s >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
-    bit = s & np.uint64(0xFFFFF)
-    digest = np.zeros(k, np.uint64)
-    order = np.argsort(segment, kind="stable")
-    seg, starts = np.unique(segment[order], return_index=True)
-    digest[seg] = np.bitwise_xor.reduceat(mix(bit * _M3 + np.uint64(1))[order], starts)
+    segment = ((s >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)  # rises with s
+    starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+    at, digest = segment[starts], np.bitwise_xor.reduceat(mix((s & np.uint64(0xFFFFF)) * _M3 + np.uint64(1)), starts)
     full = digest != 0
     if k - int(full.sum()) >= agree:
-        full[:] = True
-    at = np.flatnonzero(full)
-    return mix(digest[at] + mix(at.astype(np.uint64) * _M3 + np.uint64(band + 1)))
+        every = np.zeros(k, np.uint64)
+        every[at] = digest
+        at, digest = np.arange(k), every
+    elif not full.all():
+        at, digest = at[full], digest[full]
+    return mix(digest + mix(at.astype(np.uint64) * _M3 + np.uint64(band + 1)))
+
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """64-bit words of a bit sketch as long as the set; bit i is the parity of its tokens.
 
-def short_sketch(s: np.ndarray) -> np.ndarray:
-    """SHORT_WORDS 64-bit words; bit i is the parity of the tokens that fall on it."""
-    bits = np.bincount(((s >> np.uint64(20)) & np.uint64(64 * SHORT_WORDS - 1)).astype(np.int64), minlength=64 * SHORT_WORDS) & 1
+    The length is a power of two, so that a longer sketch folds to a shorter one.
+    """
+    m = max(128, 1 << (len(s) - 1).bit_length()) if len(s) else 128
+    bits = np.bincount(((s >> np.uint64(10)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -151,7 +184,8 @@ def _meta(width):
         shingler = Shingler(width)
         for b in slices(batches):
             sets = shingler.sets(texts_of(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "set_id"])
+            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_id", "sketch"])
 
     return run
 
@@ -213,7 +247,7 @@ def _bitmap(ids: DataFrame) -> bytes:
 
 
 def _sets(width, bits):
-    """(set_id, n, sketch, shingles) of the sets that the bitmap names."""
+    """(set_id, shingles) of the sets that the bitmap names."""
 
     def run(batches):
         wanted = np.frombuffer(bits.value, np.int64)
@@ -230,22 +264,25 @@ def _sets(width, bits):
                 if len(seen) >= SEEN_SETS:
                     seen.clear()
                 seen.add(i)
-                rows.append((i, len(s), short_sketch(s).tolist(), s.view(np.int64).tolist()))
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], ["set_id", "n", "sketch", "shingles"])
+                rows.append((i, s.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["set_id", "shingles"])
 
     return run
 
 
+def near(pairs: DataFrame, light: DataFrame, percent: int = 80) -> DataFrame:
+    """Those of the pairs (a, b) of set ids that sizes and sketches allow to link."""
+    x = light.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+    y = light.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    fits = pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    folded = "case when size({0}) > size({1}) then zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y) else {0} end"
+    apart = F.expr(f"aggregate(zip_with({folded.format('ka', 'kb')}, {folded.format('kb', 'ka')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    return fits.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).drop("na", "nb", "ka", "kb")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
     """Those of the pairs (a, b) of set ids that link."""
-    light = sets.select("set_id", "n", "sketch")
-    near = pairs.join(light.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a").join(
-        light.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b"
-    )
-    apart = F.expr("aggregate(zip_with(ka, kb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    near = near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
-    full = near.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    full = pairs.select("a", "b").join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return full.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
@@ -266,25 +303,36 @@ def _across(runs: DataFrame, labels: DataFrame) -> DataFrame:
     return x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def set_components(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(node, label) of the set ids that link with another set."""
+def set_components(texts: DataFrame, light: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(node, label) of the set ids that link with another set.
+
+    ``light`` has set_id, n and sketch of every distinct set.
+    """
     spark = texts.sparkSession
+
+    def fetched(pairs: DataFrame) -> DataFrame:
+        bits = spark.sparkContext.broadcast(_bitmap(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))))
+        return materialize(texts.mapInArrow(_sets(width, bits), "set_id long, shingles array<long>").dropDuplicates(["set_id"]))
+
     keys = texts.mapInArrow(_keys(width), "key long, set_id long")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     runs = materialize(keys.repartition(n, "key").sortWithinPartitions("key", "set_id").mapInArrow(_runs, "key long, leader long, member long"))
-    votes = materialize(runs.groupBy(F.col("leader").alias("a"), F.col("member").alias("b")).agg(F.count("*").alias("n")))
-    named = votes.select(F.col("a").alias("id")).union(votes.select(F.col("b").alias("id")))
-    sets = materialize(texts.mapInArrow(_sets(width, spark.sparkContext.broadcast(_bitmap(named))), "set_id long, n long, sketch array<long>, shingles array<long>").dropDuplicates(["set_id"]))
+    votes = materialize(near(runs.groupBy(F.col("leader").alias("a"), F.col("member").alias("b")).agg(F.count("*").alias("n")), light))
+    sets = fetched(votes)
     best = votes.groupBy("b").agg(F.max(F.struct("n", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
     links = materialize(verified(best, sets))
     labels = connected_labels(links)
     rest = _labelled(votes.join(best, ["a", "b"], "left_anti").select("a", "b"), labels).where("ca <> cb").select("a", "b")
-    more = materialize(verified(rest, sets))
-    links = links.union(more)
+    links = links.union(materialize(verified(rest, sets)))
     labels = connected_labels(links)
-    last = materialize(verified(_across(runs, labels), sets))
-    labels = connected_labels(links.union(last))
-    for done in (runs, votes, sets):
+    last = materialize(near(_across(runs, labels), light).join(votes.select("a", "b"), ["a", "b"], "left_anti"))
+    discard(sets)
+    if last.limit(1).count():
+        sets = fetched(last)
+        links = links.union(materialize(verified(last, sets)))
+        labels = connected_labels(links)
+        discard(sets)
+    for done in (runs, votes, last):
         discard(done)
     return labels
 
@@ -293,8 +341,9 @@ def components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text
     """doc_id, n_shingles, component_id, set_id; one row per input row."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = picked.select("text")
-    meta = materialize(picked.mapInArrow(_meta(width), "doc_id long, n_shingles long, set_id long"))
-    labels = set_components(texts, width)
+    meta = materialize(picked.mapInArrow(_meta(width), "doc_id long, n_shingles long, set_id long, sketch array<long>"))
+    light = materialize(meta.where("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    labels = set_components(texts, light, width)
     # per distinct set first, so that a large group of copies is one row
     lows = meta.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low"))
     tagged = lows.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").select("set_id", "low", F.coalesce("label", "set_id").alias("label"))
