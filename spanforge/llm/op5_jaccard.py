@@ -12,9 +12,14 @@ neighbouring ones; a band's sketch has k segments, more than the largest such
 difference d, and a differing token changes one segment, so at least k - d segments
 agree. Segments are joined on (band, segment, digest of its bits).
 
-Empty segments say nothing and are left out by sets that have fewer than k - d of
-them: two linked sets share more than that many segments, so a full one agrees. The
-few sets with more (``k`` holds spare segments against this) emit them too.
+Tokens of very many documents (a licence line, a shared passage) are left out of these
+sketches, which leaves d as a bound and keeps unlike documents apart; which tokens
+those are is estimated on a hash sample of documents and held in a bitmap of fixed
+size, and any choice gives the same result. Blank segments say nothing and are left
+out by sets that have fewer than k - d of them: two linked sets agree on at least
+that many segments, so a full one agrees. The other sets (``k`` holds spare segments
+against this) also emit segments of all their tokens, in a family of keys of their
+own, and the blank ones if they still have as many.
 
 Candidates are verified exactly on the shingle hashes, in rounds that avoid
 forming all pairs of a group of copies: equal sets collapse first; each set is then
@@ -149,24 +154,38 @@ def segments_of(band: int) -> tuple[int, int]:
     return k, k - d
 
 
-def segment_keys(s: np.ndarray, band: int) -> np.ndarray:
-    """Join keys of one set in one band: hashes of (band, segment, bits of the segment).
+def _digests(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segments of a sketch that are not blank, and a digest of the bits of each.
 
     A segment has 2^20 bits, held sparsely: its digest is the XOR of one random word
     per set bit, so tokens that fall on one bit cancel out, as parities do.
     """
-    k, agree = segments_of(band)
+    if not len(s):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     segment = ((s >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)  # rises with s
     starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
     at, digest = segment[starts], np.bitwise_xor.reduceat(mix((s & np.uint64(0xFFFFF)) * _M3 + np.uint64(1)), starts)
     full = digest != 0
-    if k - int(full.sum()) >= agree:
-        every = np.zeros(k, np.uint64)
-        every[at] = digest
-        at, digest = np.arange(k), every
-    elif not full.all():
-        at, digest = at[full], digest[full]
-    return mix(digest + mix(at.astype(np.uint64) * _M3 + np.uint64(band + 1)))
+    return (at, digest) if full.all() else (at[full], digest[full])
+
+
+def segment_keys(s: np.ndarray, rare: np.ndarray, band: int) -> list[np.ndarray]:
+    """Join keys of one set in one band: hashes of (family, band, segment, digest)."""
+    k, agree = segments_of(band)
+
+    def hashed(family: int, at: np.ndarray, digest: np.ndarray) -> np.ndarray:
+        return mix(digest + mix(at.astype(np.uint64) * _M3 + np.uint64(2 * band + family + 1)))
+
+    at, digest = _digests(rare, k)
+    out = [hashed(0, at, digest)]
+    if k - len(at) >= agree:
+        at, digest = _digests(s, k) if len(rare) < len(s) else (at, digest)
+        if k - len(at) >= agree:
+            every = np.zeros(k, np.uint64)
+            every[at] = digest
+            at, digest = np.arange(k), every
+        out.append(hashed(1, at, digest))
+    return out
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -190,11 +209,43 @@ def _meta(width):
     return run
 
 
-def _keys(width):
+def _sample(width):
+    def run(batches):
+        shingler = Shingler(width)
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *shingler.sets(texts_of(b))]).view(np.int64))], ["id"])
+
+    return run
+
+
+def frequent_tokens(texts: DataFrame, width: int = WIDTH, often: int = 200, rate: float = 0.02, least_docs: int = 2000) -> bytes:
+    """Bitmap of tokens that about ``often`` documents or more hold, by a sample.
+
+    The sample is a share of the documents, so it grows with them; where too many
+    tokens qualify for the bitmap, only the commoner ones enter it.
+    """
+    rate = min(1.0, max(rate, least_docs / max(texts.count(), 1)))
+    picked = texts.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    counts = materialize(picked.mapInArrow(_sample(width), "id long").groupBy("id").count().where(F.col("count") >= max(4, round(often * rate))))
+    cut, room = 0, 1 << (SLOT_BITS - 3)
+    if counts.count() > room:
+        cut = counts.approxQuantile("count", [1 - room / counts.count()], 0.01)[0]
+    bits = _bitmap(counts.where(F.col("count") > cut).select("id"))
+    discard(counts)
+    return bits
+
+
+def in_bitmap(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    slot = s & np.uint64((1 << SLOT_BITS) - 1)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _keys(width, frequent):
     """(key, set_id); a set met again by the same task, if remembered, is not repeated."""
 
     def run(batches):
         shingler, seen = Shingler(width), set()
+        common = np.frombuffer(frequent.value, np.uint64)
         for b in slices(batches):
             keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for s in shingler.sets(texts_of(b)):
@@ -203,11 +254,11 @@ def _keys(width):
                 if len(seen) >= SEEN_SETS:
                     seen.clear()
                 seen.add(i)
-                own = band_of(len(s))
+                own, rare = band_of(len(s)), s[~in_bitmap(s, common)]
                 for band in (own, own - 1) if own else (own,):
-                    k = segment_keys(s, band)
-                    keys.append(k)
-                    ids.append(np.full(len(k), i, np.int64))
+                    for k in segment_keys(s, rare, band):
+                        keys.append(k)
+                        ids.append(np.full(len(k), i, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "set_id"])
 
     return run
@@ -314,7 +365,8 @@ def set_components(texts: DataFrame, light: DataFrame, width: int = WIDTH) -> Da
         bits = spark.sparkContext.broadcast(_bitmap(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))))
         return materialize(texts.mapInArrow(_sets(width, bits), "set_id long, shingles array<long>").dropDuplicates(["set_id"]))
 
-    keys = texts.mapInArrow(_keys(width), "key long, set_id long")
+    frequent = spark.sparkContext.broadcast(frequent_tokens(texts, width))
+    keys = texts.mapInArrow(_keys(width, frequent), "key long, set_id long")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     runs = materialize(keys.repartition(n, "key").sortWithinPartitions("key", "set_id").mapInArrow(_runs, "key long, leader long, member long"))
     votes = materialize(near(runs.groupBy(F.col("leader").alias("a"), F.col("member").alias("b")).agg(F.count("*").alias("n")), light))
