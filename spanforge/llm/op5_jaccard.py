@@ -23,10 +23,12 @@ own, and the blank ones if they still have as many.
 
 Candidates are verified exactly on the shingle hashes, in rounds that avoid
 forming all pairs of a group of copies: equal sets collapse first; each set is then
-verified against the leader (least set id) it shares most segments with; then
-against its other leaders where their components still differ; and last, segments
-whose members still lie in several components give their remaining pairs across
-components. Pairs within a component need no check, as they cannot change it.
+verified against the hub it shares most segments with (the hub of a segment is its
+member that shares most segments with others: the text that copies were made from,
+if it is there); then against its other hubs where their components still differ;
+and last, segments whose members still lie in several components give their
+remaining pairs across components. Pairs within a component need no check, as they
+cannot change it.
 Before verification, pairs are bounded by their sizes and the Hamming distance of
 sketches as long as the sets; shingles are fetched only for what passes this.
 
@@ -344,9 +346,20 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(la, "a", "left").join(lb, "b", "left").select("*", F.coalesce("la", "a").alias("ca"), F.coalesce("lb", "b").alias("cb"))
 
 
-def _across(runs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs across components that share a segment, besides those with its leader."""
-    members = runs.select("key", F.col("member").alias("id"))
+def _memberships(runs: DataFrame) -> DataFrame:
+    """(key, id) of the segments that several sets share."""
+    return runs.select("key", F.col("member").alias("id")).union(runs.select("key", F.col("leader").alias("id")).distinct())
+
+
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """(a, b, n): sets b with the hubs a of n of their segments."""
+    degree = members.groupBy("id").agg(F.count("*").alias("degree"))
+    hubs = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("top")).select("key", F.col("top.id").alias("hub"))
+    return members.join(hubs, "key").where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n"))
+
+
+def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs across components that share a segment."""
     tagged = members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     mixed = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     open_ = tagged.join(mixed, "key")
@@ -369,7 +382,9 @@ def set_components(texts: DataFrame, light: DataFrame, width: int = WIDTH) -> Da
     keys = texts.mapInArrow(_keys(width, frequent), "key long, set_id long")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     runs = materialize(keys.repartition(n, "key").sortWithinPartitions("key", "set_id").mapInArrow(_runs, "key long, leader long, member long"))
-    votes = materialize(near(runs.groupBy(F.col("leader").alias("a"), F.col("member").alias("b")).agg(F.count("*").alias("n")), light))
+    members = materialize(_memberships(runs))
+    discard(runs)
+    votes = materialize(near(_hub_pairs(members), light))
     sets = fetched(votes)
     best = votes.groupBy("b").agg(F.max(F.struct("n", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
     links = materialize(verified(best, sets))
@@ -377,14 +392,14 @@ def set_components(texts: DataFrame, light: DataFrame, width: int = WIDTH) -> Da
     rest = _labelled(votes.join(best, ["a", "b"], "left_anti").select("a", "b"), labels).where("ca <> cb").select("a", "b")
     links = links.union(materialize(verified(rest, sets)))
     labels = connected_labels(links)
-    last = materialize(near(_across(runs, labels), light).join(votes.select("a", "b"), ["a", "b"], "left_anti"))
+    last = materialize(near(_across(members, labels), light).join(votes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     discard(sets)
     if last.limit(1).count():
         sets = fetched(last)
         links = links.union(materialize(verified(last, sets)))
         labels = connected_labels(links)
         discard(sets)
-    for done in (runs, votes, last):
+    for done in (members, votes, last):
         discard(done)
     return labels
 
