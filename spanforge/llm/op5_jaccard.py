@@ -26,9 +26,10 @@ forming all pairs of a group of copies: equal sets collapse first; each set is t
 verified against the hub it shares most segments with (the hub of a segment is its
 member that shares most segments with others: the text that copies were made from,
 if it is there); then against its other hubs where their components still differ;
-and last, segments whose members still lie in several components give their
-remaining pairs across components. Pairs within a component need no check, as they
-cannot change it.
+and last, segments whose members still lie in several components are searched for
+pairs across components by comparing sketches, in blocks of bounded size; only pairs
+that may link leave a block. Pairs within a component need no check, as they cannot
+change it.
 Before verification, pairs are bounded by their sizes and the Hamming distance of
 sketches as long as the sets; shingles are fetched only for what passes this.
 
@@ -51,6 +52,8 @@ from spanforge.llm.common import connected_labels, discard, materialize, slices,
 WIDTH = 5
 #: Bytes of text that are hashed together, unless one text is longer.
 BATCH_BYTES = 4 << 20
+#: Members of one segment compared in one group, and 64-bit words compared at once.
+BLOCK, PAIR_WORDS = 4096, 1 << 20
 SLOT_BITS = 24
 SEEN_SETS = 1 << 16
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -358,13 +361,78 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     return members.join(hubs, "key").where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n"))
 
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs across components that share a segment."""
+def _folded(sketches: pa.ListArray) -> np.ndarray:
+    """Sketches as rows, each folded to the shortest length among them."""
+    words = sketches.flatten().to_numpy().view(np.uint64)
+    sizes = np.diff(sketches.offsets.to_numpy())
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    out = np.empty((len(sizes), sizes.min()), np.uint64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        rows = words[starts[at][:, None] + np.arange(size)]
+        out[at] = np.bitwise_xor.reduce(rows.reshape(len(at), -1, out.shape[1]), 1)
+    return out
+
+
+def _near_in_group(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pairs across components that sizes and sketches allow to link."""
+    col = {c: group.column(c).to_numpy() for c in ("id", "label", "n", "side")}
+    m = _folded(group.column("sketch").combine_chunks())
+    split, k, a, b = len(np.unique(col["side"])) > 1, len(m), [], []
+    step = max(1, PAIR_WORDS // m.size)
+    for i in range(0, k, step):
+        apart = np.bitwise_count(m[i : i + step, None, :] ^ m[None, :, :]).sum(2, dtype=np.int64)
+        n, o = col["n"][i : i + step, None], col["n"][None, :]
+        fits = (apart * (100 + percent) <= (n + o) * (100 - percent)) & (100 * np.minimum(n, o) >= percent * np.maximum(n, o))
+        fits &= (col["label"][i : i + step, None] != col["label"][None, :]) & (np.arange(i, min(i + step, k))[:, None] < np.arange(k)[None, :])
+        if split:
+            fits &= col["side"][i : i + step, None] != col["side"][None, :]
+        x, y = np.nonzero(fits)
+        a.append(col["id"][x + i])
+        b.append(col["id"][y])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _near_pairs(percent):
+    """Reads (block, side, id, label, n, sketch) sorted by block; gives pairs (a, b)."""
+
+    def run(batches):
+        held: list[pa.Table] = []
+
+        def done():
+            group = pa.concat_tables(held)
+            held.clear()
+            x, y = _near_in_group(group, percent) if len(group) > 1 else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+        for batch in batches:
+            t, key = pa.table(batch), batch.column(0).to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else []
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if held and held[0].column(0)[0].as_py() != key[low]:
+                    yield done()
+                held.append(t.slice(low, high - low))
+        if held:
+            yield done()
+
+    return run
+
+
+def _across(members: DataFrame, labels: DataFrame, light: DataFrame, percent: int = 80) -> DataFrame:
+    """Near pairs (a, b) across components that share a segment.
+
+    Members of an open segment are compared in blocks of at most ``BLOCK`` (every
+    pair of blocks of a larger segment is a group of its own); only pairs that pass
+    the bounds leave a block.
+    """
     tagged = members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    open_ = tagged.join(mixed, "key")
-    x, y = open_.select("key", F.col("id").alias("a"), F.col("label").alias("ca")), open_.select("key", F.col("id").alias("b"), F.col("label").alias("cb"))
-    return x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    mixed = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high")
+    parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    open_ = tagged.join(mixed.select("key", parts.alias("parts")), "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sent = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = sent.join(light.select(F.col("set_id").alias("id"), "n", "sketch"), "id").select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("block"), "side", "id", "label", "n", "sketch")
+    n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_near_pairs(percent), "a long, b long").distinct()
 
 
 def set_components(texts: DataFrame, light: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -392,7 +460,7 @@ def set_components(texts: DataFrame, light: DataFrame, width: int = WIDTH) -> Da
     rest = _labelled(votes.join(best, ["a", "b"], "left_anti").select("a", "b"), labels).where("ca <> cb").select("a", "b")
     links = links.union(materialize(verified(rest, sets)))
     labels = connected_labels(links)
-    last = materialize(near(_across(members, labels), light).join(votes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    last = materialize(_across(members, labels, light).join(votes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     discard(sets)
     if last.limit(1).count():
         sets = fetched(last)
