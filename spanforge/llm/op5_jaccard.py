@@ -51,9 +51,9 @@ from spanforge.llm.common import connected_labels, discard, materialize, slices,
 
 WIDTH = 5
 #: Bytes of text that are hashed together, unless one text is longer.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Members of one segment compared in one group, and 64-bit words compared at once.
-BLOCK, PAIR_WORDS = 4096, 1 << 20
+BLOCK, PAIR_WORDS = 4096, 1 << 19
 SLOT_BITS = 24
 SEEN_SETS = 1 << 16
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)

@@ -36,7 +36,7 @@ WINDOW = 2048
 BLOCK_WINDOWS = 16
 #: Ids left free in each window of a full block, so that near-equal windows fit.
 SLACK = 3
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _loaded: dict[str, tuple] = {}
 
@@ -105,7 +105,7 @@ class WordEncoder:
         """The ids of each text, as little-endian unsigned 32-bit bytes."""
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
-        if len(self.letters) > CACHE_WORDS:
+        if len(self.letters) > CACHE_WORDS // 2:
             self.letters = {}
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if new := {w for w in set().union(*split) if w not in self.known}:
@@ -217,7 +217,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         packer, enc = _Packer(window, TaskContext.get().partitionId() << 40), encoder(path)
         last = np.array([end_id], "<u4").tobytes()
-        for b in slices(batches):
+        for b in slices(batches, 128):
             ids = b.column(0).to_pylist()
             for doc_id, tokens in zip(ids, enc.encode([t.decode("utf-8", "replace") for t in texts_of(b)]), strict=True):
                 packer.add(doc_id, tokens + last)

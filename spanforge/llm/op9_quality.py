@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import fit_logistic, hash_fraction_sample, held_out, sigmoid, slices, split_of, table, texts_of
 
 CHUNK = 2048
-DOC_CHUNKS = 6
+DOC_CHUNKS = 4
 DICT_BYTES = 112 << 10
 LEVEL = 3
 THRESHOLD = 0.7
@@ -92,7 +92,7 @@ def scores_of(texts: list[bytes], model: QualityModel) -> np.ndarray:
     return sigmoid(size_features(texts, model.good, model.bad) @ np.array(model.curve[:2]) + model.curve[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Dictionaries and curve from labelled rows outside the held-out quarter."""
     known = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
