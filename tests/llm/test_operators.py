@@ -1,0 +1,191 @@
+"""Edge cases for every operator, SQL or brute force for its results."""
+
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from spanforge.llm import op1_decontaminate, op2_pii, op3_license, op4_toxicity, op5_jaccard, op6_langid, op7_lm, op8_packing, op9_quality, op10_rules
+from spanforge.llm.queries import ORACLES, QUERIES
+from tests.conftest import rows_of
+
+LONG = " ".join(f"word{i % 4999}" for i in range(60_000))
+ROWS = [(1, None, None, None), (2, "", "en", "a"), (3, " \n\t ", "en", "a"), (4, LONG, "en", None), (5, "one two three", "de", "b"), (5, "one two three", "de", "b"), (None, "one two three", "fr", "b"), (7, "123 !!", "en", "a")]
+#: Extra columns whose names an operator might use itself.
+CLASH = ("row", "set_id", "words", "key", "label", "n")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string")
+    for c in CLASH:
+        df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def data(spark, sf):
+    return lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+@pytest.fixture(scope="module")
+def runs(odd, data, spark):
+    labels, items = data("labels"), spark.createDataFrame([(1, "one two three"), (2, None), (None, "two three"), (3, "")], "item_id long, text string")
+    docs = data("documents")
+    files = odd.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    return {
+        "op1": lambda d: op1_decontaminate.contaminated(d, items),
+        "op2": lambda d: op2_pii.replace_pii(d),
+        "op3": lambda d: op3_license.scan(files if d is odd else d.withColumn("path", F.lit("a/b"))),
+        "op4": lambda d: op4_toxicity.score(d, op4_toxicity.fit(docs, labels)),
+        "op5": lambda d: op5_jaccard.components(d),
+        "op6": lambda d: op6_langid.identify(d, op6_langid.fit(docs)),
+        "op7": lambda d: op7_lm.score(d, op7_lm.fit(docs, train_docs=50)),
+        "op8": lambda d: op8_packing.pack(d),
+        "op9": lambda d: op9_quality.score(d, op9_quality.fit(docs, labels)),
+        "op10": lambda d: op10_rules.adaptive_rules(d),
+    }
+
+
+@pytest.mark.parametrize("op", [f"op{n}" for n in range(1, 11)])
+def test_odd_rows_and_empty_tables(op, runs, odd):
+    got = runs[op](odd).collect()
+    assert len({r["doc_id"] for r in got}) == 7
+    if op != "op8":
+        assert len(got) == len(ROWS)
+    assert runs[op](odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, sf, sql, name):
+    assert rows_of(QUERIES[name](spark, sf).toPandas()) == sql(ORACLES[name])
+
+
+def test_models_of_nothing(odd):
+    none = odd.limit(0)
+    labels = none.select("doc_id", F.lit(1).alias("quality"), F.lit(1).alias("toxic"))
+    assert {r["lang_pred"] for r in op6_langid.identify(odd, op6_langid.fit(none)).collect()} == {"und"}
+    assert {r["score"] for r in op9_quality.score(odd, op9_quality.fit(none, labels)).collect()} == {0.5}
+    assert not any(r["toxic"] for r in op4_toxicity.score(odd, op4_toxicity.fit(none, labels)).collect())
+    assert op7_lm.score(odd, op7_lm.fit(none)).count() == len(ROWS)
+
+
+def test_decontaminate_by_hand(odd, runs):
+    got = {r["doc_id"]: r for r in runs["op1"](odd).collect()}
+    assert (got[5]["n_words"], got[5]["n_hit"], got[5]["n_items"], got[5]["contaminated"]) == (3, 3, 1, True)
+    assert got[1]["n_words"] == 0 and not got[4]["contaminated"]
+
+
+def test_pii_distinct_and_coreferent(spark):
+    t = "Mr John Smith met Mrs Anna Smith. +1 (423) 555-7379 or +1 423-555-7379; a@b.co A@B.CO c@b.co 4111111111111111 4111111111111112 300.1.1.1 10.0.0.1"
+    df = spark.createDataFrame([(1, t), (2, "Frau Smith: a@b.co"), (3, None)], "doc_id long, text string")
+    one, two, three = (r["text"] for r in op2_pii.replace_pii(df).orderBy("doc_id").collect())
+    words, old = one.split(), t.split()
+    assert len(words) == len(old) and three is None
+    assert words[2].rstrip(".") == words[6].rstrip(".") != "Smith" and two.split()[1].rstrip(":") == words[2]
+    a, b, c = (words[old.index(x)] for x in ("a@b.co", "A@B.CO", "c@b.co"))
+    assert a == b.lower() and a != c and two.split()[2] == a and a != "a@b.co"
+    card = words[old.index("4111111111111111")]
+    d = [int(x) for x in card][::-1]
+    assert len(card) == 16 and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+    assert "4111111111111112" in words and "300.1.1.1" in words and "10.0.0.1" not in words
+
+
+def test_surrogates_of_many_names(spark):
+    units = spark.range(3000).select(F.concat(F.lit("family_latin:n"), F.col("id").cast("string")).alias("unit"))
+    got = op2_pii.surrogates(units, "k").agg(F.count("*"), F.countDistinct(F.lower("surrogate"))).first()
+    assert tuple(got) == (3000, 3000)
+
+
+def test_license_inheritance(spark):
+    files = [(1, "p/LICENSE", "Some words before.\nReleased under the MIT License."), (2, "p/a/b/x.txt", "none"), (3, "p/a/LICENSE", "Licensed under the Apache License, Version 2.0."), (4, "q/y.txt", "none"), (5, "p/z.txt", "x\nThis work is licensed under the GNU General Public License, version 3."), (6, None, None)]
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in op3_license.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "file"), 2: ("Apache-2.0", "inherited"), 3: ("Apache-2.0", "file"), 4: (None, "none"), 5: ("GPL-3.0", "header"), 6: (None, "none")}
+
+
+def test_near_copies_and_chains(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = {1: base, 2: [*base[:190], *"abcdefghij"], 3: [*"klmnopqrst", *base[10:]], 4: [f"v{i}" for i in range(200)], 5: [x.upper() for x in base], 6: ["z"], 7: ["z"], 8: ["z", "y"]}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in op5_jaccard.components(df).collect()}
+    sets = {k: {tuple(w.lower() for w in v[i : i + 5]) for i in range(max(1, len(v) - 4))} for k, v in texts.items()}
+    links = {(a, b) for a in sets for b in sets if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    want = {a: a for a in sets}
+    for _ in sets:
+        want = {a: min(want[b] for b in sets if (a, b) in links) for a in sets}
+    assert got == want
+
+
+@pytest.mark.parametrize("size", [1, 2, 4, 5, 17, 100, 1000, 5000])
+def test_linked_sets_share_a_key(size):
+    rng = np.random.default_rng(size)
+    for grow in range(0, size // 4 + 1, max(1, size // 16)):
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        spare = max(0, (len(a) - 4 * grow) // 9)
+        b = np.unique(np.concatenate((a[spare:], rng.integers(0, 2**63, grow, dtype=np.uint64))))
+        if 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)):
+            continue
+        keys = lambda s: {int(x) for own in [op5_jaccard.band_of(len(s))] for band in {own, max(own - 1, 0)} for part in op5_jaccard.segment_keys(s, s[s % 7 > 2], band) for x in part}
+        assert keys(a) & keys(b)
+
+
+def test_packing_round_trip(spark, data):
+    from tokenizers import Tokenizer
+
+    docs, plain = data("documents").select("doc_id", "text"), Tokenizer.from_file(op8_packing.default_tokenizer())
+    rows = op8_packing.pack(docs).toPandas().sort_values(["sequence_id", "offset"])
+    ids = {r["doc_id"]: [*plain.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in docs.collect()}
+    assert rows.length.sum() == sum(map(len, ids.values()))
+    for r in rows.itertuples():
+        assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+    size = rows.groupby("sequence_id").length.sum()
+    assert ((rows.groupby("sequence_id").length.cumsum() - rows.length) == rows.offset).all() and size.max() <= 2048
+    odd = size[(size & (size - 1)) != 0]
+    assert (2048 - odd).sum() < 0.01 * size.sum()
+
+
+def test_differencing_rises_when_full():
+    sums = [sum([8, 7, 6, 5, 4][i] for i in g) for g in op8_packing.difference([8, 7, 6, 5, 4], 2)]
+    assert sum(sums) == 30 and abs(sums[0] - sums[1]) <= 2
+    groups = op8_packing.split_block([6, 6, 6], 10)
+    assert sorted(i for g in groups for i in g) == [0, 1, 2] and len(groups) == 3
+
+
+@pytest.mark.parametrize("text", ["", "İ* don't ΣΑΣ. x.,", "a\x1cb <|endoftext|> 中文。", "A!! B|| 1²"])
+def test_encoder_equals_tokenizer(text):
+    e = op8_packing.encoder(op8_packing.default_tokenizer())
+    assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_held_out_accuracy(spark, data):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    lang = op6_langid.identify(docs, op6_langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert lang.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+    q = op9_quality.score(docs, op9_quality.fit(docs, labels)).join(labels, "doc_id").where("held_out")
+    assert q.agg(F.avg((F.col("quality") == F.col("predicted")).cast("int"))).first()[0] > 0.9
+    t = op4_toxicity.score(docs, op4_toxicity.fit(docs, labels)).select("doc_id", F.col("toxic").cast("int").alias("p")).join(labels, "doc_id")
+    assert t.agg(F.avg((F.col("p") == F.col("toxic")).cast("int"))).first()[0] > 0.95
+
+
+def test_codewords_are_apart():
+    for n in (2, 4, 6, 20):
+        c = op6_langid.codewords(n).astype(int)
+        assert len({tuple(r) for r in c}) == n and (np.abs(c.sum(0)) < n).all()
+
+
+def test_pseudo_likelihood_prefers_seen_text(data):
+    m = op7_lm.fit(data("documents"), train_docs=100)
+    n, seen = op7_lm.log_likelihoods([b"the of and the in the"], m)
+    _, noise = op7_lm.log_likelihoods([b"zq xk jjv qqz wvx kkq"], m)
+    assert n[0] == 6 and seen[0] > noise[0]
+
+
+def test_rule_counts_by_brute_force(data):
+    for text in ["a b c a b c", "x\nx\n\n y \n y ", "é#|z", "a b c d a b c"]:
+        w = text.split()
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        hit = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+        lines = [x for x in text.split("\n") if x.strip()]
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), len(lines))
+        assert op10_rules.text_counts(text.encode()) == want
