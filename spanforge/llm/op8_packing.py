@@ -36,9 +36,10 @@ WINDOW = 2048
 BLOCK_WINDOWS = 16
 #: Ids left free in each window of a full block, so that near-equal windows fit.
 SLACK = 3
-CACHE_WORDS = 1 << 19
+#: Words remembered by a worker process (about 200 bytes each, letters apart).
+CACHE_WORDS = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_loaded: dict[str, tuple] = {}
+_loaded: dict[tuple[str, int], WordEncoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -60,10 +61,10 @@ class WordEncoder:
     END = "</w>"
     MARKS = ".,;:!?|&%*$#"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cache_words = Tokenizer.from_file(path), cache_words
         # ids as little-endian unsigned 32-bit bytes, which join fast and burden no collector
         self.known: dict[str, bytes] = {"": b""}
         self.letters: dict[str, bytes] = {}
@@ -103,9 +104,9 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit bytes."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.cache_words:
             self.known = {"": b""}
-        if len(self.letters) > CACHE_WORDS // 2:
+        if len(self.letters) > self.cache_words:
             self.letters = {}
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if new := {w for w in set().union(*split) if w not in self.known}:
@@ -114,11 +115,11 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in split]
 
 
-def encoder(path: str) -> WordEncoder:
-    """One per worker process."""
-    if path not in _loaded:
-        _loaded[path] = WordEncoder(path)
-    return _loaded[path]
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
+    """One per worker process, tokenizer and bound."""
+    if (path, cache_words) not in _loaded:
+        _loaded[path, cache_words] = WordEncoder(path, cache_words)
+    return _loaded[path, cache_words]
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -207,7 +208,7 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 7)], names)
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence."""
     path = tokenizer_path or default_tokenizer()
 
@@ -215,9 +216,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        packer, enc = _Packer(window, TaskContext.get().partitionId() << 40), encoder(path)
+        packer, enc = _Packer(window, TaskContext.get().partitionId() << 40), encoder(path, cache_words)
         last = np.array([end_id], "<u4").tobytes()
-        for b in slices(batches, 128):
+        for b in slices(batches):
             ids = b.column(0).to_pylist()
             for doc_id, tokens in zip(ids, enc.encode([t.decode("utf-8", "replace") for t in texts_of(b)]), strict=True):
                 packer.add(doc_id, tokens + last)
