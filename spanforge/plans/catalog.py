@@ -266,10 +266,10 @@ def contextualize_text(spark, d):
     return h.select("path", "ord", text.contextualized(F.lit(""), F.col("crumb"), F.col("text")).alias("prose"), text.contextualized(F.lit("#"), F.col("crumb"), F.col("text")).alias("code"))
 
 
-@query(f"WITH {CHUNKS}, {HEADED} SELECT path, string_agg('## ' || path || ':L0 > ' || heading || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS page FROM hd WHERE ord < 3 GROUP BY path")
+@query(f"WITH {CHUNKS}, {HEADED} SELECT path, string_agg('## ' || path || ':L0 > ' || heading || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS page FROM hd GROUP BY path")
 def render_hits(spark, d):
-    """The first three chunks of every document as a page of hits."""
-    h = _headed(spark, d).where("ord < 3").withColumn("crumb", text.breadcrumb(F.col("path"), F.col("heading")))
+    """The chunks of every document as a page of hits."""
+    h = _headed(spark, d).withColumn("crumb", text.breadcrumb(F.col("path"), F.col("heading")))
     section = h.select("path", "ord", F.concat(text.chunk_heading(F.col("crumb"), F.lit(0)), F.lit("\n\n"), "text").alias("section"))
     pages = section.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "section"))).alias("s"))
     return pages.select("path", F.array_join(F.col("s.section"), "\n\n---\n\n").alias("page"))
@@ -295,15 +295,16 @@ def cleanup_orphans(spark, d):
     return store.without_orphans(indexed(spark, d), ["mock@8"]).select("path", "model", "version")
 
 
-_CACHE = "cache AS (SELECT path, CASE WHEN doc_id % 6 = 1 THEN 'mock@16' ELSE 'mock@8' END AS model, sha1(CASE WHEN doc_id % 9 = 0 THEN 'x' ELSE 'y' END || doc_id) AS blob_sha FROM files WHERE doc_id % 2 = 0 OR doc_id % 9 = 0), art AS (SELECT path, CASE WHEN doc_id % 6 = 1 THEN 'mock@16' ELSE 'mock@8' END AS model, sha1('y' || doc_id) AS blob_sha FROM files WHERE doc_id % 3 <> 1)"
+_CACHE = "cache AS (SELECT CASE WHEN doc_id % 2 = 0 OR doc_id % 9 = 0 THEN path ELSE 'old/' || path END AS path, CASE WHEN doc_id % 6 = 1 THEN 'mock@16' ELSE 'mock@8' END AS model, sha1(CASE WHEN doc_id % 9 = 0 THEN 'x' ELSE 'y' END || doc_id) AS blob_sha FROM files), art AS (SELECT path, CASE WHEN doc_id % 6 = 1 THEN 'mock@16' ELSE 'mock@8' END AS model, sha1('y' || doc_id) AS blob_sha FROM files)"
 
 
 @query(f"WITH {FILES}, {_CACHE}, a AS (SELECT * FROM art WHERE model = 'mock@8') SELECT coalesce(a.path, c.path) AS path, coalesce(a.model, c.model) AS model, CASE WHEN a.path IS NULL THEN 'evict' WHEN c.path IS NULL OR a.blob_sha <> c.blob_sha THEN 'upsert' ELSE 'keep' END AS action FROM a FULL JOIN cache c ON c.path = a.path AND c.model = a.model")
 def sync_cache_actions(spark, d):
     f = files(spark, d).withColumn("model", F.when(F.col("doc_id") % 6 == 1, "mock@16").otherwise("mock@8"))
     sha = lambda mark: F.sha1(F.concat(mark, F.col("doc_id").cast("string")))
-    cache = f.where("doc_id % 2 = 0 or doc_id % 9 = 0").select("path", "model", sha(F.when(F.col("doc_id") % 9 == 0, "x").otherwise("y")).alias("blob_sha"))
-    return diff.sync_actions(f.where("doc_id % 3 <> 1").select("path", "model", sha(F.lit("y")).alias("blob_sha")), cache, ["mock@8"])
+    old = F.when((F.col("doc_id") % 2 == 0) | (F.col("doc_id") % 9 == 0), F.col("path")).otherwise(F.concat(F.lit("old/"), "path"))
+    cache = f.select(old.alias("path"), "model", sha(F.when(F.col("doc_id") % 9 == 0, "x").otherwise("y")).alias("blob_sha"))
+    return diff.sync_actions(f.select("path", "model", sha(F.lit("y")).alias("blob_sha")), cache, ["mock@8"])
 
 
 @query(f"WITH {TREE}, {INDEXED}, p AS (SELECT coalesce(t.path, ix.path) AS path, t.path IS NULL AS gone, NOT coalesce(t.blob_sha = ix.blob_sha AND version = 10, false) AS touched FROM tree t FULL JOIN ix ON t.path = ix.path) SELECT path, blob_sha, version FROM ix WHERE path IN (SELECT path FROM p WHERE NOT touched) UNION ALL SELECT t.path, t.blob_sha, 10 FROM tree t JOIN p ON p.path = t.path WHERE p.touched AND NOT p.gone")
@@ -348,7 +349,7 @@ def chunk_markdown(spark, d):
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
     """A small Python module per document."""
-    body = F.concat(F.lit("import os\n\n# doc "), F.col("doc_id").cast("string"), F.lit("\nclass Doc:\n    def words(self):\n        return '"), F.regexp_replace(F.substring("text", 1, 300), r"[^A-Za-z ]", ""), F.lit("'\n\n\ndef main():\n    return Doc()\n"))
+    body = F.concat(F.lit("import os\n\n# doc "), F.col("doc_id").cast("string"), F.lit("\nclass Doc:\n    def words(self):\n        return '"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z ]", ""), F.lit("'\n\n\ndef main():\n    return Doc()\n"))
     return read(spark, d, "documents").select("doc_id", body.alias("content"))
 
 
@@ -363,7 +364,7 @@ def chunk_code(spark, d):
     return documents.per_text(_sources(spark, d), lambda raw: structure.chunk_code(raw, "python", "m.py", 200), "crumb string, start long, end long", [pa.string(), pa.int64(), pa.int64()])
 
 
-@query("SELECT event_id, unnest(['', 'k']) AS path FROM events")
+@query("SELECT event_id, unnest([''] || json_keys(props)) AS path FROM events")
 def config_path(spark, d):
     """Paths of the JSON of events."""
     src = read(spark, d, "events").select("event_id", F.col("props").alias("content"))

@@ -33,19 +33,22 @@ FILES = "files AS (SELECT doc_id, 'src/' || (doc_id % 10) || '/' || doc_id || ([
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).where("doc_id % 5 <> 0").select("path", blob_sha(F.col("text")).alias("blob_sha"), F.col("text").alias("content"))
+    """The files as they are now; some have been moved since they were indexed."""
+    return files(spark, sf_dir).select("path", blob_sha(F.col("text")).alias("blob_sha"), F.col("text").alias("content"))
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files at an earlier time: under their old paths, with old contents or versions."""
+    path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("old/"), "path")).otherwise(F.col("path"))
     sha = F.when(F.col("doc_id") % 4 == 0, F.sha1(F.concat(F.lit("old"), F.col("doc_id").cast("string")))).otherwise(blob_sha(F.col("text")))
-    return files(spark, sf_dir).where("doc_id % 3 <> 0").select(
-        "path", F.when(F.col("doc_id") % 6 == 1, "mock@16").otherwise("mock@8").alias("model"), sha.alias("blob_sha"), F.when(F.col("doc_id") % 11 == 0, 9).otherwise(10).cast("long").alias("version"), (F.col("doc_id") % 7).alias("chunks")
+    return files(spark, sf_dir).select(
+        path.alias("path"), F.when(F.col("doc_id") % 6 == 1, "mock@16").otherwise("mock@8").alias("model"), sha.alias("blob_sha"), F.when(F.col("doc_id") % 11 == 0, 9).otherwise(10).cast("long").alias("version"), (F.col("doc_id") % 7).alias("chunks")
     )
 
 
 SHA = "sha1('blob ' || strlen(text) || chr(0) || text)"
-TREE = f"{FILES}, tree AS (SELECT path, {SHA} AS blob_sha, text FROM files WHERE doc_id % 5 <> 0)"
-INDEXED = f"ix AS (SELECT path, CASE WHEN doc_id % 6 = 1 THEN 'mock@16' ELSE 'mock@8' END AS model, CASE WHEN doc_id % 4 = 0 THEN sha1('old' || doc_id) ELSE {SHA} END AS blob_sha, CASE WHEN doc_id % 11 = 0 THEN 9 ELSE 10 END::BIGINT AS version, doc_id % 7 AS chunks FROM files WHERE doc_id % 3 <> 0)"
+TREE = f"{FILES}, tree AS (SELECT path, {SHA} AS blob_sha, text FROM files)"
+INDEXED = f"ix AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'old/' || path ELSE path END AS path, CASE WHEN doc_id % 6 = 1 THEN 'mock@16' ELSE 'mock@8' END AS model, CASE WHEN doc_id % 4 = 0 THEN sha1('old' || doc_id) ELSE {SHA} END AS blob_sha, CASE WHEN doc_id % 11 = 0 THEN 9 ELSE 10 END::BIGINT AS version, doc_id % 7 AS chunks FROM files)"
 CHUNKS = f"""{MD}, raw AS (SELECT path, unnest(string_split(text, chr(10) || chr(10))) AS raw, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS part FROM md),
 sp AS (SELECT path, part, regexp_replace(raw, '^[ \\t\\n\\r\\x0b\\f]+|[ \\t\\n\\r\\x0b\\f]+$', '', 'g') AS text, coalesce(sum(strlen(raw) + 2) OVER (PARTITION BY path ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + strlen(raw) - strlen(regexp_replace(raw, '^[ \\t\\n\\r\\x0b\\f]+', '')) AS s FROM raw),
 ch AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY part) - 1 AS ord, text, s::BIGINT AS "start", (s + strlen(text))::BIGINT AS "end" FROM sp WHERE text <> '')"""
