@@ -66,10 +66,12 @@ class SnapshotStore:
         out.write(bytearray(str(n).encode()))
         out.close()
         _, final = self._fs(f"{self.root}/CURRENT")
-        if fs.exists(final):
-            fs.delete(final, False)
-        if not fs.rename(temp, final):
-            raise OSError(f"cannot replace {final}")
+        # one rename that replaces: CURRENT is never missing once it was there
+        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(temp, final, how)
         return n
 
     def vacuum(self, keep: int = 1) -> None:

@@ -14,15 +14,19 @@ from spanforge.operators.store import SnapshotStore, upserted
 def index_stream(files: DataFrame, store: SnapshotStore, model: Model, checkpoint: str) -> StreamingQuery:
     """Every batch of (path, content) becomes a snapshot; the last content of a path wins.
 
-    A batch that is run again gives the same rows under the same paths.
+    A batch that is run again gives the same rows under the same paths; one that
+    brings nothing new writes no snapshot.
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        latest = df.groupBy("path").agg(F.last("content").alias("content")).withColumn("blob_sha", blob_sha(F.col("content")))
+        placed = df.select("path", "content", F.monotonically_increasing_id().alias("at"))
+        latest = placed.groupBy("path").agg(F.max_by("content", "at").alias("content")).withColumn("blob_sha", blob_sha(F.col("content")))
         old = store.read()
         if old is not None:
             same = old.select("path", "blob_sha").distinct()
             latest = latest.join(same, ["path", "blob_sha"], "left_anti")
+            if latest.isEmpty():
+                return
         fresh = embed_files(latest, model)
         store.write(fresh if old is None else upserted(old, fresh, latest))
 
