@@ -24,6 +24,8 @@ class Index:
         self.config = config.load(self.root)
         c = self.config
         self.model = build(c.provider, c.model, c.dimensions, c.base_url, c.api_key_env)
+        if not self.model.contextual:
+            raise ValueError(f"{self.model.name} does not embed whole documents; a contextual model is needed")
         self.store = SnapshotStore(spark, f"file://{self.root}/{routing.STATE_DIR}/index")
 
     def tree(self, ref: str = "HEAD") -> DataFrame:

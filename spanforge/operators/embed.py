@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BATCH_BYTES = 90_000
+#: Beginning of the names of models that take whole documents.
+CONTEXTUAL = "voyage-context"
 LARGEST, OVERLAP, HEAD, RESERVE, LEAST_SPLIT = 300_000, 30_000, 12_000, 14_000, 60_000
 
 
@@ -23,6 +25,7 @@ class TokenLimitError(RuntimeError):
 class Model(Protocol):
     name: str
     dims: int
+    contextual: bool
 
     def embed_query(self, text: str) -> list[float]: ...
 
@@ -34,6 +37,8 @@ class Model(Protocol):
 class MockModel:
     """Deterministic vectors: byte i is added to slot i modulo dims."""
 
+    contextual = True
+
     def __init__(self, dims: int = 8, limit: int | None = None) -> None:
         self.name, self.dims, self.limit = f"mock@{dims}", dims, limit
 
@@ -52,29 +57,46 @@ class MockModel:
 
 
 class HttpModel:
-    """A contextual embedding service over HTTP."""
+    """An embedding service over HTTP.
+
+    Contextual models take whole documents; others only queries and given chunks.
+    """
 
     def __init__(self, model: str, dims: int, base_url: str, api_key_env: str, timeout: int = 60) -> None:
         self.model, self.dims, self.base_url, self.key_env, self.timeout = model, dims, base_url.rstrip("/"), api_key_env, timeout
-        self.name = f"{model}@{dims}"
+        self.name, self.contextual = f"{model}@{dims}", model.startswith(CONTEXTUAL)
 
-    def _post(self, inputs: list[list[str]], kind: str, chunking: bool) -> list[list[dict]]:
-        body = {"model": self.model, "inputs": inputs, "input_type": kind, "output_dimension": self.dims, "enable_auto_chunking": chunking}
-        request = urllib.request.Request(f"{self.base_url}/contextualizedembeddings", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get(self.key_env, '')}"})
+    def _send(self, place: str, **body) -> list[dict]:
+        asked = {"model": self.model, "output_dimension": self.dims, **body}
+        key = os.environ.get(self.key_env, "")
+        headers = {"Content-Type": "application/json", **({"Authorization": f"Bearer {key}"} if key else {})}
+        request = urllib.request.Request(f"{self.base_url}/v1/{place}", json.dumps(asked).encode(), headers)
         try:
             with urllib.request.urlopen(request, timeout=self.timeout) as r:
-                groups = [g["data"] for g in json.load(r)["data"]]
+                return json.load(r)["data"]
         except urllib.error.HTTPError as error:
             said = error.read().decode("utf-8", "replace")
             raise (TokenLimitError if error.code == 400 and "token" in said.lower() else RuntimeError)(f"{error.code}: {said[:200]}") from error
-        if len(groups) != len(inputs) or any(len(x["embedding"]) != self.dims for g in groups for x in g):
+
+    def _checked(self, groups: list[list[dict]], n: int) -> list[list[dict]]:
+        if len(groups) != n or any(len(x["embedding"]) != self.dims for g in groups for x in g):
             raise ValueError("the service's answer has another shape than asked for")
         return groups
 
+    def _post(self, inputs: list[list[str]], kind: str, chunking: bool) -> list[list[dict]]:
+        """Per input, its embedded parts; a model without context takes one text per input."""
+        if self.contextual:
+            groups = [g["data"] for g in self._send("contextualizedembeddings", inputs=inputs, input_type=kind, enable_auto_chunking=chunking)]
+        else:
+            groups = [[x] for x in self._send("embeddings", input=[t for texts in inputs for t in texts], input_type=kind)]
+        return self._checked(groups, len(inputs))
+
     def embed_query(self, text: str) -> list[float]:
         return self._post([[text]], "query", False)[0][0]["embedding"]
 
     def embed_document(self, document: str) -> list[tuple[str, list[float]]]:
+        if not self.contextual:
+            raise TypeError(f"{self.name} does not embed whole documents")
         return [(x["text"], x["embedding"]) for x in sorted(self._post([[document]], "document", True)[0], key=lambda x: x["index"])]
 
     def embed_chunks(self, chunks: list[str]) -> list[list[float]]:
@@ -94,7 +116,7 @@ def build(provider: str, model: str, dims: int, base_url: str = "", api_key_env:
     if provider == "mock":
         return MockModel(dims)
     if provider in ("", "voyage"):
-        return HttpModel(model, dims, base_url or "https://api.voyageai.com/v1", api_key_env or "VOYAGE_API_KEY")
+        return HttpModel(model, dims, base_url or "https://api.voyageai.com", api_key_env or "VOYAGE_API_KEY")
     raise ValueError(f"unknown provider {provider!r}")
 
 
