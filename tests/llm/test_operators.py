@@ -1,5 +1,6 @@
 """Edge cases for every operator, SQL or brute force for its results."""
 
+import collections
 import zlib
 
 import numpy as np
@@ -181,6 +182,29 @@ def test_pseudo_likelihood_prefers_seen_text(data):
     assert n[0] == 6 and seen[0] > noise[0]
 
 
+def test_language_model_reads_the_whole_corpus(spark, monkeypatch):
+    monkeypatch.setattr(op7_lm, "HEAD", 100)
+    monkeypatch.setattr(op7_lm, "COUNT_WORDS", 50)
+    texts = [" ".join(f"w{i * 40 + k}x" for k in range(40)) for i in range(100)] + ["w0x w0x w0x w1x"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = collections.Counter(w.encode() for t in texts for w in t.split())
+    model = op7_lm.fit(df, train_docs=5)
+    # words that share no bucket, however many: every one has its own count
+    assert {bytes(r["word"]): r["n"] for r in model.counts.collect()} == want
+    p = [model.tables, model.hidden_bias, model.out, model.out_bias]
+    trained, seen = op7_lm.train_in_tasks(df.select("text"), model.head, model.class_of, p)
+    assert seen == sum(want.values()) and any((a != b).any() for a, b in zip(trained, p))
+    # joined counts of rare words give the score of a model that holds them all in its head
+    whole = [w for w, _ in sorted(want.items(), key=lambda kv: (-kv[1], kv[0]))]
+    cls = np.array([i if i < op7_lm.OWN else op7_lm.OWN + zlib.crc32(w) % (op7_lm.OUTSIDE - op7_lm.OWN) for i, w in enumerate(whole)])
+    n = np.array([want[w] + 0.5 for w in whole])
+    mass = np.bincount(cls, n, op7_lm.CLASSES) + np.where(np.arange(op7_lm.CLASSES) < op7_lm.OWN, 0, 0.5)
+    full = op7_lm.WindowModel(op7_lm.Head(whole), cls, np.log(n / mass[cls]), model.log_unseen, None, *p)
+    _, total = op7_lm.log_likelihoods([t.encode() for t in texts], full)
+    got = {r["doc_id"]: r["pseudo_log_likelihood"] for r in op7_lm.score(df, model).collect()}
+    assert max(abs(got[i] - total[i]) for i in got) < 1e-3
+
+
 def test_rule_counts_by_brute_force(data):
     for text in ["a b c a b c", "x\nx\n\n y \n y ", "é#|z", "a b c d a b c"]:
         w = text.split()
