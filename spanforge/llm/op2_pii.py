@@ -7,8 +7,8 @@ distinct entity is one row and gets a surrogate drawn from SHA-2 of key, kind,
 entity and attempt: digits become digits, letters letters of the same case and
 script, names come from lists by gender and script, cards keep their issuer digit
 and pass the Luhn check, addresses keep four octets. Surrogates that two entities
-share, or that equal an entity of the corpus, are drawn again until none is left;
-so distinct entities stay distinct, and one entity has one surrogate in all
+share, or that equal an entity of the corpus, are drawn again until none is left,
+names by one part longer at each attempt and addresses longer after the third; so distinct entities stay distinct, and one entity has one surrogate in all
 documents, however it is punctuated or capitalised.
 
 DataFrame functions only. Documents without an entity pass through a filter and a
@@ -112,8 +112,16 @@ def _draw(kind: Column, body: Column, attempt: Column, key: str) -> tuple[Column
     def pick(names: list[str], i: int) -> str:
         return f"element_at(array({', '.join(_lit(n) for n in names)}), 1 + cast(conv(substring(h, {1 + 3 * i}, 3), 16, 10) as int) % {len(names)})"
 
-    given = " ".join(f"when kind = 'given_{k}' then concat({pick(v, 0)}, case when attempt > 0 then concat('-', {pick(v, 1)}) else '' end, case when attempt > 2 then concat('-', {pick(v, 2)}) else '' end)" for k, v in GIVEN.items())
-    family = " ".join(f"when kind = 'family_{k}' then concat({pick(a, 0)}, {pick(b, 1)}, case when attempt > 1 then {pick(b, 3)} else '' end, case when attempt > 3 then {pick(b, 4)} else '' end, {pick(c_, 2)})" for k, (a, b, c_) in FAMILY.items())
+    def more(names: list[str], i: int, before: str = "") -> str:
+        """A further part for each attempt, so that no number of entities uses the names up."""
+        part = pick(names, i).replace(f"substring(h, {1 + 3 * i}, 3)", f"substring(h, 1 + 3 * (({i} + j) % 85), 3)")
+        return f"case when attempt > 0 then array_join(transform(sequence(1, attempt), j -> concat('{before}', {part})), '') else '' end"
+
+    given = " ".join(f"when kind = 'given_{k}' then concat({pick(v, 0)}, {more(v, 0, '-')})" for k, v in GIVEN.items())
+    family = " ".join(f"when kind = 'family_{k}' then concat({pick(a, 0)}, {pick(b, 1)}, {more(b, 2)}, {pick(c_, 2)})" for k, (a, b, c_) in FAMILY.items())
+    # short addresses, and letters without an alphabet, have few shapes: later ones grow
+    longer = more(list(ALPHABETS["[a-z]"]), 40).replace("attempt", "(attempt - 3)")
+    email = f"concat({longer}, {email})"
     value = f"case when kind = 'email' then {email} when kind = 'secret' then {hexed} when kind = 'card' then {card} when kind = 'phone' then {phone} when kind = 'ip' then {ip} when kind = 'iban' then {iban} {given} {family} else {shaped} end"
     return blocks, value
 

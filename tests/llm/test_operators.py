@@ -99,6 +99,16 @@ def test_surrogates_of_many_names(spark):
     assert tuple(got) == (3000, 3000)
 
 
+@pytest.mark.parametrize("kind,count", [("given_f_latin", 6000), ("given_m_greek", 1000), ("family_greek", 3500), ("email", 1500)])
+def test_surrogates_beyond_the_lists(spark, kind, count):
+    body = F.concat(F.lit("n"), F.col("id").cast("string"))
+    if kind == "email":  # letters without an alphabet: all of one shape, with few values
+        body = F.concat(F.udf(lambda i: chr(0x4E00 + i), "string")("id"), F.lit("@b.co"))
+    units = spark.range(count).select(F.concat(F.lit(kind + ":"), body).alias("unit"))
+    got = op2_pii.surrogates(units, "k").agg(F.count("*"), F.countDistinct(F.lower("surrogate"))).first()
+    assert tuple(got) == (count, count)
+
+
 def test_license_inheritance(spark):
     files = [(1, "p/LICENSE", "Some words before.\nReleased under the MIT License."), (2, "p/a/b/x.txt", "none"), (3, "p/a/LICENSE", "Licensed under the Apache License, Version 2.0."), (4, "q/y.txt", "none"), (5, "p/z.txt", "x\nThis work is licensed under the GNU General Public License, version 3."), (6, None, None)]
     got = {r["doc_id"]: (r["license"], r["origin"]) for r in op3_license.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
