@@ -115,6 +115,17 @@ def test_license_inheritance(spark):
     assert got == {1: ("MIT", "file"), 2: ("Apache-2.0", "inherited"), 3: ("Apache-2.0", "file"), 4: (None, "none"), 5: ("GPL-3.0", "header"), 6: (None, "none")}
 
 
+def test_license_texts_headers_and_spdx(spark):
+    texts = {n: f"{n}\nCopyright (c) 2024 Some One\n\n{forms[-1]}\nYours, Some One\n" for n, forms in op3_license.TEMPLATES.items() if len(forms[-1]) > 600}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "LGPL-3.0", "Apache-2.0", "MPL-2.0", "ISC", "Unlicense", "CC0-1.0"} <= set(texts)
+    gnu = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\n#\nimport os\n"
+    spdx = {"Apache-2.0": "Apache-2.0", "MIT": "mit", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-or-later", "Zlib": "Zlib", "MIT OR Apache-2.0": "(MIT OR Apache-2.0)"}
+    files = [(f"{n}/LICENSE", n, t) for n, t in texts.items()] + [("g/a.py", "GPL-2.0", gnu)] + [(f"s{i}/a.c", n, f"// SPDX-License-Identifier: {t}\nint x;") for i, (n, t) in enumerate(spdx.items())]
+    df = spark.createDataFrame([(i, p, t) for i, (p, _, t) in enumerate(files)], "doc_id long, path string, text string")
+    got = {r["path"]: r["license"] for r in op3_license.scan(df).collect()}
+    assert got == {p: n for p, n, _ in files}
+
+
 def test_near_copies_and_chains(spark):
     base = [f"w{i}" for i in range(200)]
     texts = {1: base, 2: [*base[:190], *"abcdefghij"], 3: [*"klmnopqrst", *base[10:]], 4: [f"v{i}" for i in range(200)], 5: [x.upper() for x in base], 6: ["z"], 7: ["z"], 8: ["z", "y"]}
