@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handled together inside one Arrow batch; bounds what Python holds at a time.
-SLICE_ROWS = 256
+#: Rows, and bytes of text unless one row has more, that are handled together inside
+#: one Arrow batch; bounds what Python holds at a time.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 23
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -25,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none (tests), a folder of the local machine is set.
+    Where the session names none, a folder is made if driver and executors are one
+    process (tests); a cluster without one is refused, as its machines share no folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="spanforge-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -38,16 +44,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/spanforge/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized frame that nothing reads any more."""
+    """Delete the files of a frame of ``materialize`` that nothing reads any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def split_of(doc_id: Column) -> Column:
@@ -59,10 +65,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(split_of(doc_id) == 2, F.lit(False))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        held = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                held += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        upto, low = np.cumsum(held), 0
+        while low < batch.num_rows:
+            room = int(np.searchsorted(upto, (upto[low - 1] if low else 0) + size, "right"))
+            high = min(max(room, low + 1), low + rows, batch.num_rows)
+            yield batch.slice(low, high - low)
+            low = high
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -119,8 +133,10 @@ def connected_labels(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         jumped = materialize(hooked.join(up, "low", "left").select("node", F.least("low", F.coalesce("top", "low")).alias("label"), F.col("label").alias("old")))
         moved = jumped.where("label <> old").limit(1).count()
         discard(labels)
-        labels = jumped.select("node", "label")
+        labels = jumped
         if not moved:
             discard(both)
-            return labels
+            out = labels.select("node", "label")
+            out.written_path = labels.written_path
+            return out
     raise RuntimeError("labels did not settle")

@@ -26,18 +26,24 @@ forming all pairs of a group of copies: equal sets collapse first; each set is t
 verified against the hub it shares most segments with (the hub of a segment is its
 member that shares most segments with others: the text that copies were made from,
 if it is there); then against its other hubs where their components still differ;
-and last, segments whose members still lie in several components are searched for
-pairs across components by comparing sketches, in blocks of bounded size; only pairs
-that may link leave a block. Pairs within a component need no check, as they cannot
-change it.
+and last, segments whose members still lie in several components are searched in
+blocks of bounded size, twice: by sketches, which leaves the members that have a near
+one in another component, then by the shingles of those. The second search links
+exactly and keeps the components of its block, so that it skips pairs of one
+component and gives a spanning forest: a block gives fewer rows than it has members,
+and no table of pairs is ever written. Pairs within a component need no check, as
+they cannot change it.
 Before verification, pairs are bounded by their sizes and the Hamming distance of
 sketches as long as the sets; shingles are fetched only for what passes this.
 
+A set's id has 64 bits and is checked by 64 others: ids that two sets share (about
+n^2 / 2^65 of n sets, so a few hundred of 10^11) are found and replaced by the check.
+
 Edge cases: null, empty and wordless texts have an empty set and stay alone; texts of
 fewer words than a shingle are one shingle; equal rows link; a null doc_id takes the
-component of its copies, or null; an empty table gives no rows. Hashes have 64 bits
-(``set_id`` too); two different sets of one corpus of 10^9 would collide with a
-chance of about 3 %.
+component of its copies, or null; an empty table gives no rows; long texts are hashed
+in pieces of ``PIECE`` bytes, and blocks are bounded by shingles as well as members.
+Columns besides the id and the text are not read. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -52,8 +58,10 @@ from spanforge.llm.common import connected_labels, discard, materialize, slices,
 WIDTH = 5
 #: Bytes of text that are hashed together, unless one text is longer.
 BATCH_BYTES = 1 << 20
-#: Members of one segment compared in one group, and 64-bit words compared at once.
-BLOCK, PAIR_WORDS = 4096, 1 << 19
+#: Bytes hashed by one running sum.
+PIECE = 1 << 20
+#: Members and shingles of one side of a block, and 64-bit words compared at once.
+BLOCK, BLOCK_SHINGLES, PAIR_WORDS = 4096, 1 << 21, 1 << 19
 SLOT_BITS = 24
 SEEN_SETS = 1 << 16
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -93,12 +101,20 @@ class Shingler:
     def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Hash and start of every word of the bytes, which begin and end blank."""
         a = np.frombuffer(data, np.uint8)
-        if len(a) > len(self.up):
-            self.up, self.down = _powers(2 * len(a), self.BASE), _powers(2 * len(a), self.INVERSE)
-        run = np.cumsum(self.values[a] * self.up[: len(a)])
-        edge = np.flatnonzero(np.diff(self.blank[a]))
-        start, stop = edge[0::2], edge[1::2]  # the blank before, the last byte
-        return mix((run[stop] - run[start]) * self.down[start]), start + 1
+        if len(self.up) < min(len(a), PIECE):
+            self.up, self.down = _powers(PIECE, self.BASE), _powers(PIECE, self.INVERSE)
+        at, sums, downs, carry = [], [], [], np.uint64(0)
+        for low in range(0, len(a), PIECE):
+            piece = a[low : low + PIECE]
+            run = np.cumsum(self.values[piece] * self.up[: len(piece)]) * np.uint64(pow(self.BASE, low, 1 << 64)) + carry
+            edge = np.flatnonzero(np.diff(self.blank[a[low : low + PIECE + 1]]))
+            at.append(edge + low)
+            sums.append(run[edge])
+            downs.append(self.down[edge] * np.uint64(pow(self.INVERSE, low, 1 << 64)))
+            carry = run[-1]
+        edge, run, down = np.concatenate(at), np.concatenate(sums), np.concatenate(downs)
+        # edges in turn: the blank before a word, the word's last byte
+        return mix((run[1::2] - run[0::2]) * down[0::2]), edge[0::2] + 1
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(texts) > 1 and sum(map(len, texts)) > BATCH_BYTES:
@@ -127,10 +143,26 @@ class Shingler:
         return out
 
 
-def set_id(s: np.ndarray) -> int:
-    """Signed 64-bit id of a set; does not depend on order."""
-    x = mix(np.array([np.bitwise_xor.reduce(mix(s + _M3)) + np.uint64(len(s))], np.uint64) + s.sum(dtype=np.uint64))
-    return int(x.view(np.int64)[0])
+def set_hashes(s: np.ndarray) -> tuple[int, int]:
+    """Signed 64-bit id and check of a set; neither depends on order."""
+    m, n = mix(s + _M3), np.uint64(len(s))
+    both = mix(np.array([np.bitwise_xor.reduce(m) + n, m.sum(dtype=np.uint64) ^ (n * _M1)], np.uint64)).view(np.int64)
+    return int(both[0]), int(both[1])
+
+
+class SetIds:
+    """Ids of sets: ``bits`` of their first hash, or the second where two sets share those."""
+
+    def __init__(self, bits: int = 64, shared: frozenset[int] = frozenset()) -> None:
+        self.bits, self.shared = bits, shared
+
+    def both(self, s: np.ndarray) -> tuple[int, int]:
+        i, check = set_hashes(s)
+        return (i if self.bits == 64 else i & ((1 << self.bits) - 1)), check
+
+    def __call__(self, s: np.ndarray) -> int:
+        i, check = self.both(s)
+        return check if i in self.shared else i
 
 
 def band_top(band: int) -> int:
@@ -203,13 +235,14 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _meta(width):
+def _meta(width, ids):
     def run(batches):
         shingler = Shingler(width)
         for b in slices(batches):
             sets = shingler.sets(texts_of(b))
-            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_id", "sketch"])
+            both = [ids.both(s) if len(s) else (None, None) for s in sets]
+            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_id", "check", "sketch"])
 
     return run
 
@@ -245,7 +278,7 @@ def in_bitmap(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
 
-def _keys(width, frequent):
+def _keys(width, frequent, identify):
     """(key, set_id); a set met again by the same task, if remembered, is not repeated."""
 
     def run(batches):
@@ -254,7 +287,7 @@ def _keys(width, frequent):
         for b in slices(batches):
             keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for s in shingler.sets(texts_of(b)):
-                if not len(s) or (i := set_id(s)) in seen:
+                if not len(s) or (i := identify(s)) in seen:
                     continue
                 if len(seen) >= SEEN_SETS:
                     seen.clear()
@@ -302,7 +335,7 @@ def _bitmap(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _sets(width, bits):
+def _sets(width, bits, identify):
     """(set_id, shingles) of the sets that the bitmap names."""
 
     def run(batches):
@@ -313,7 +346,7 @@ def _sets(width, bits):
             for s in shingler.sets(texts_of(b)):
                 if not len(s):
                     continue
-                i = set_id(s)
+                i = identify(s)
                 slot = i % (1 << SLOT_BITS)
                 if i in seen or not (int(wanted[slot >> 6]) >> (slot & 63)) & 1:
                     continue
@@ -374,111 +407,187 @@ def _folded(sketches: pa.ListArray) -> np.ndarray:
     return out
 
 
-def _near_in_group(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the pairs across components that sizes and sketches allow to link."""
-    col = {c: group.column(c).to_numpy() for c in ("id", "label", "n", "side")}
+def _near_in_group(group: pa.Table, percent: int) -> np.ndarray:
+    """Which members have another, of another component, that sizes and sketches let them link with."""
+    col = {c: group.column(c).to_numpy() for c in ("label", "n", "side")}
     m = _folded(group.column("sketch").combine_chunks())
-    split, k, a, b = len(np.unique(col["side"])) > 1, len(m), [], []
-    step = max(1, PAIR_WORDS // m.size)
+    split, k = len(np.unique(col["side"])) > 1, len(m)
+    step, out = max(1, PAIR_WORDS // m.size), np.zeros(k, bool)
     for i in range(0, k, step):
-        apart = np.bitwise_count(m[i : i + step, None, :] ^ m[None, :, :]).sum(2, dtype=np.int64)
-        n, o = col["n"][i : i + step, None], col["n"][None, :]
+        apart = np.bitwise_count(m[i : i + step, None, :] ^ m[None, i:, :]).sum(2, dtype=np.int64)
+        n, o = col["n"][i : i + step, None], col["n"][None, i:]
         fits = (apart * (100 + percent) <= (n + o) * (100 - percent)) & (100 * np.minimum(n, o) >= percent * np.maximum(n, o))
-        fits &= (col["label"][i : i + step, None] != col["label"][None, :]) & (np.arange(i, min(i + step, k))[:, None] < np.arange(k)[None, :])
+        fits &= col["label"][i : i + step, None] != col["label"][None, i:]
         if split:
-            fits &= col["side"][i : i + step, None] != col["side"][None, :]
-        x, y = np.nonzero(fits)
-        a.append(col["id"][x + i])
-        b.append(col["id"][y])
-    return np.concatenate(a), np.concatenate(b)
+            fits &= col["side"][i : i + step, None] != col["side"][None, i:]
+        out[i : i + step] |= fits.any(1)
+        out[i:] |= fits.any(0)
+    return out
 
 
-def _near_pairs(percent):
-    """Reads (block, side, id, label, n, sketch) sorted by block; gives pairs (a, b)."""
+def forest(ids: np.ndarray, labels: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of the sets as all links between them would.
+
+    Fewer than there are sets. Sets of one side are not compared if there are two.
+    """
+    sizes, k = np.array([len(s) for s in sets]), len(sets)
+    starts = np.cumsum(sizes) - sizes
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark, comp, out = np.zeros(int(token.max()) + 1, bool), np.unique(labels, return_inverse=True)[1], []
+    m = np.uint64(max(128, 1 << (4 * int(sizes.max()) - 1).bit_length()))
+    rough = np.stack([np.packbits((np.bincount(((s >> np.uint64(10)) & (m - np.uint64(1))).astype(np.int64), minlength=int(m)) & 1).astype(np.uint8)).view(np.uint64) for s in sets])
+    split = len(np.unique(sides)) > 1
+    for i in range(k - 1):
+        fits = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(sizes[i], sizes[i + 1 :]) >= percent * np.maximum(sizes[i], sizes[i + 1 :]))
+        if split:
+            fits &= sides[i + 1 :] != sides[i]
+        others = np.flatnonzero(fits) + i + 1
+        if not len(others):
+            continue
+        apart = np.bitwise_count(rough[others] ^ rough[i]).sum(1, dtype=np.int64)
+        others = others[apart * (100 + percent) <= (sizes[i] + sizes[others]) * (100 - percent)]
+        own = token[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        step = max(1, PAIR_WORDS // int(sizes.max()))
+        for low in range(0, len(others), step):
+            part = others[low : low + step]
+            n = sizes[part]
+            first = np.cumsum(n) - n
+            both = np.add.reduceat(mark[token[np.repeat(starts[part] - first, n) + np.arange(n.sum())]], first, dtype=np.int64)
+            for j in part[100 * both >= percent * (sizes[i] + n - both)]:
+                if comp[j] != comp[i]:
+                    out.append((int(ids[i]), int(ids[j])))
+                    comp[comp == comp[j]] = comp[i]
+        mark[own] = False
+    return out
 
-    def run(batches):
-        held: list[pa.Table] = []
 
-        def done():
-            group = pa.concat_tables(held)
-            held.clear()
-            x, y = _near_in_group(group, percent) if len(group) > 1 else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+def _by_block(judge):
+    """Reads rows sorted by their first column, block; gives ``judge`` of the rows of each block."""
 
+    def run(batches):
+        held: list[pa.Table] = []
         for batch in batches:
             t, key = pa.table(batch), batch.column(0).to_numpy()
             cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else []
             for low, high in zip(cuts, cuts[1:], strict=False):
                 if held and held[0].column(0)[0].as_py() != key[low]:
-                    yield done()
+                    yield from judge(pa.concat_tables(held))
+                    held.clear()
                 held.append(t.slice(low, high - low))
         if held:
-            yield done()
+            yield from judge(pa.concat_tables(held))
 
     return run
 
 
-def _across(members: DataFrame, labels: DataFrame, light: DataFrame, percent: int = 80) -> DataFrame:
-    """Near pairs (a, b) across components that share a segment.
+def _near_members(percent):
+    """(block, side, id, label) of the members that have a near one across components."""
+
+    def judge(group):
+        if len(group) > 1:
+            yield from group.filter(pa.array(_near_in_group(group, percent))).select(["block", "side", "id", "label"]).to_batches()
+
+    return _by_block(judge)
+
+
+def _forest(percent):
+    """(a, b): the links of each block's spanning forest."""
+
+    def judge(group):
+        if len(group) > 1:
+            held = group.column("shingles").combine_chunks()
+            flat, cuts = held.flatten().to_numpy().view(np.uint64), np.cumsum(np.diff(held.offsets.to_numpy()))[:-1]
+            links = forest(*(group.column(c).to_numpy() for c in ("id", "label", "side")), np.split(flat, cuts), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], ["a", "b"])
 
-    Members of an open segment are compared in blocks of at most ``BLOCK`` (every
-    pair of blocks of a larger segment is a group of its own); only pairs that pass
-    the bounds leave a block.
+    return _by_block(judge)
+
+
+def _open_members(members: DataFrame, labels: DataFrame, light: DataFrame, percent: int = 80) -> DataFrame:
+    """(block, side, id, label) of the members of open segments with a near one elsewhere.
+
+    A segment whose members lie in several components is open. Its members are dealt
+    to sides of at most ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles; every pair
+    of sides is a block.
     """
-    tagged = members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high")
-    parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    of = labels.select(F.col("node").alias("id"), "label")
+    tagged = members.join(of, "id", "left").join(light.select(F.col("set_id").alias("id"), "n"), "id").select("key", "id", F.coalesce("label", "id").alias("label"), "n")
+    mixed = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum("n").alias("tokens")).where("low <> high")
+    parts = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.least("size", F.ceil(F.col("tokens") / F.lit(BLOCK_SHINGLES)))).cast("int")
     open_ = tagged.join(mixed.select("key", parts.alias("parts")), "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     sent = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = sent.join(light.select(F.col("set_id").alias("id"), "n", "sketch"), "id").select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("block"), "side", "id", "label", "n", "sketch")
-    n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return rows.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_near_pairs(percent), "a long, b long").distinct()
+    rows = sent.join(light.select(F.col("set_id").alias("id"), "sketch"), "id").select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("block"), "side", "id", "label", "n", "sketch")
+    return _blocked(rows).mapInArrow(_near_members(percent), "block long, side int, id long, label long")
+
 
+def _blocked(rows: DataFrame) -> DataFrame:
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.repartition(n, "block").sortWithinPartitions("block")
 
-def set_components(texts: DataFrame, light: DataFrame, width: int = WIDTH) -> DataFrame:
+
+def set_components(texts: DataFrame, light: DataFrame, width: int = WIDTH, identify: SetIds | None = None) -> DataFrame:
     """(node, label) of the set ids that link with another set.
 
     ``light`` has set_id, n and sketch of every distinct set.
     """
-    spark = texts.sparkSession
+    spark, identify = texts.sparkSession, identify or SetIds()
 
-    def fetched(pairs: DataFrame) -> DataFrame:
-        bits = spark.sparkContext.broadcast(_bitmap(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))))
-        return materialize(texts.mapInArrow(_sets(width, bits), "set_id long, shingles array<long>").dropDuplicates(["set_id"]))
+    def fetched(ids: DataFrame) -> DataFrame:
+        bits = spark.sparkContext.broadcast(_bitmap(ids))
+        out = materialize(texts.mapInArrow(_sets(width, bits, identify), "set_id long, shingles array<long>").dropDuplicates(["set_id"]))
+        bits.destroy()
+        return out
 
     frequent = spark.sparkContext.broadcast(frequent_tokens(texts, width))
-    keys = texts.mapInArrow(_keys(width, frequent), "key long, set_id long")
+    keys = texts.mapInArrow(_keys(width, frequent, identify), "key long, set_id long")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     runs = materialize(keys.repartition(n, "key").sortWithinPartitions("key", "set_id").mapInArrow(_runs, "key long, leader long, member long"))
+    frequent.destroy()
     members = materialize(_memberships(runs))
     discard(runs)
     votes = materialize(near(_hub_pairs(members), light))
-    sets = fetched(votes)
+    sets = fetched(votes.select(F.col("a").alias("id")).union(votes.select(F.col("b").alias("id"))))
     best = votes.groupBy("b").agg(F.max(F.struct("n", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
     links = materialize(verified(best, sets))
     labels = connected_labels(links)
     rest = _labelled(votes.join(best, ["a", "b"], "left_anti").select("a", "b"), labels).where("ca <> cb").select("a", "b")
-    links = links.union(materialize(verified(rest, sets)))
-    labels = connected_labels(links)
-    last = materialize(_across(members, labels, light).join(votes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    more = materialize(verified(rest, sets))
+    discard(labels)
+    labels = connected_labels(links.union(more))
     discard(sets)
+    last = materialize(_open_members(members, labels, light))
+    parts = [links, more]
     if last.limit(1).count():
-        sets = fetched(last)
-        links = links.union(materialize(verified(last, sets)))
-        labels = connected_labels(links)
+        sets = fetched(last.select("id"))
+        rows = last.join(sets.withColumnRenamed("set_id", "id"), "id").select("block", "side", "id", "label", "shingles")
+        parts.append(materialize(_blocked(rows).mapInArrow(_forest(80), "a long, b long")))
         discard(sets)
-    for done in (members, votes, last):
+        discard(labels)
+        labels = connected_labels(links.union(more).union(parts[-1]))
+    for done in (members, votes, last, *parts):
         discard(done)
     return labels
 
 
-def components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, set_id; one row per input row."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = picked.select("text")
-    meta = materialize(picked.mapInArrow(_meta(width), "doc_id long, n_shingles long, set_id long, sketch array<long>"))
-    light = materialize(meta.where("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    labels = set_components(texts, light, width)
+    meta = materialize(picked.mapInArrow(_meta(width, SetIds(id_bits)), "doc_id long, n_shingles long, set_id long, check long, sketch array<long>"))
+
+    def distinct_sets() -> DataFrame:
+        by = meta.where("set_id is not null").groupBy("set_id")
+        return materialize(by.agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("check").alias("low"), F.max("check").alias("high")))
+
+    light = distinct_sets()
+    shared = [r["set_id"] for r in light.where("low <> high").select("set_id").collect()]  # see above: a few, of any corpus
+    if shared:
+        discard(light)
+        meta = meta.withColumn("set_id", F.when(F.col("set_id").isin(shared), F.col("check")).otherwise(F.col("set_id")))
+        light = distinct_sets()
+    labels = set_components(texts, light, width, SetIds(id_bits, frozenset(shared)))
+    discard(light)
     # per distinct set first, so that a large group of copies is one row
     lows = meta.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low"))
     tagged = lows.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").select("set_id", "low", F.coalesce("label", "set_id").alias("label"))

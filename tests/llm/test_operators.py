@@ -4,10 +4,11 @@ import collections
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import op1_decontaminate, op2_pii, op3_license, op4_toxicity, op5_jaccard, op6_langid, op7_lm, op8_packing, op9_quality, op10_rules
+from spanforge.llm import common, op1_decontaminate, op2_pii, op3_license, op4_toxicity, op5_jaccard, op6_langid, op7_lm, op8_packing, op9_quality, op10_rules
 from spanforge.llm.queries import ORACLES, QUERIES
 from tests.conftest import rows_of
 
@@ -139,6 +140,82 @@ def test_near_copies_and_chains(spark):
     assert got == want
 
 
+def brute_components(texts):
+    """component per number of the text, by comparing all pairs of word shingle sets"""
+    ids = {}
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        grams = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        sets.append(np.array(sorted(ids.setdefault(g, len(ids)) for g in grams), int))
+    size, comp = np.array([len(s) for s in sets]), np.arange(len(sets))
+    for i, s in enumerate(sets):
+        mark = np.zeros(len(ids), bool)
+        mark[s] = True
+        for j in range(i):
+            if comp[i] != comp[j] and 100 * min(size[i], size[j]) >= 80 * max(size[i], size[j]) > 0:
+                both = int(mark[sets[j]].sum())
+                if 100 * both >= 80 * (size[i] + size[j] - both):
+                    comp[comp == max(comp[i], comp[j])] = min(comp[i], comp[j])
+    return comp.tolist()
+
+
+def near_copies(n, change, length=60, seed=0):
+    """Copies of one text, of whose words a few are changed at random places."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(length)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for k in rng.choice(length, change, replace=False):
+            words[k] = f"x{i}y{k}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("change", [1, 2, 3])
+def test_many_near_copies_of_which_few_link(spark, monkeypatch, change):
+    monkeypatch.setattr(op5_jaccard, "BLOCK", 150)  # several sides
+    texts = near_copies(600, change)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in op5_jaccard.components(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
+def test_a_block_gives_a_forest():
+    texts = near_copies(300, 1)
+    sets = op5_jaccard.Shingler().sets([t.encode() for t in texts])
+    ids = np.arange(len(sets))
+    links = op5_jaccard.forest(ids, ids, np.zeros(len(sets), int), sets, 80)
+    comp = ids.copy()
+    for a, b in links:
+        comp[comp == max(comp[a], comp[b])] = min(comp[a], comp[b])
+    assert len(links) < len(sets) and comp.tolist() == brute_components(texts)
+
+
+def test_sets_that_share_an_id_are_told_apart(spark):
+    texts = near_copies(40, 1) + near_copies(300, 40, seed=1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in op5_jaccard.components(df, id_bits=6).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
+def test_words_are_hashed_alike_in_pieces(monkeypatch):
+    texts = [LONG.encode(), b"", b" a  b " * 999, "é ".encode() * 500, b"x" * 3000]
+    whole = op5_jaccard.Shingler().sets(texts)
+    monkeypatch.setattr(op5_jaccard, "PIECE", 1 << 16)
+    assert all((a == b).all() for a, b in zip(whole, op5_jaccard.Shingler().sets(texts), strict=True))
+    monkeypatch.setattr(op5_jaccard, "PIECE", 1 << 10)
+    assert all((a == b).all() for a, b in zip(whole, op5_jaccard.Shingler().sets(texts), strict=True))
+
+
+def test_slices_are_bounded_in_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * 50, None, "b" * 300, "", "c" * 60, "d" * 60, "e"])], ["doc_id", "text"])
+    got = list(common.slices(iter([batch]), 4, 100))
+    assert [b.num_rows for b in got] == [2, 1, 2, 2] and pa.Table.from_batches(got).equals(pa.Table.from_batches([batch]))
+    assert [b.num_rows for b in common.slices(iter([batch]), 4, 1000)] == [4, 3]
+
+
 @pytest.mark.parametrize("size", [1, 2, 4, 5, 17, 100, 1000, 5000])
 def test_linked_sets_share_a_key(size):
     rng = np.random.default_rng(size)
