@@ -1,16 +1,21 @@
 """Quality rules whose cutoffs come from the data.
 
 Method: every document gets integer metrics; per (lang, source, metric) a
-fixed-resolution quantile sketch (counts of integer bins) is summed. Such a sketch
-merges by addition, so partial sums are formed before the shuffle and one hot
-source costs no more than its bins. Cutoffs are fences over the sketch's
-quartiles; documents are then filtered by a join with the cutoffs.
+fixed-resolution quantile sketch (counts of integer bins) of the documents that pass
+the base rule is summed. Such a sketch merges by addition, so partial sums are formed
+before the shuffle, one hot source costs no more than its bins, and the sketches of a
+language and of the whole corpus are sums of those of the sources. A stratum's cutoff
+of a metric is the bin that all but one in ``TAIL`` of its documents reach at most (at
+least, for lower cutoffs), drawn towards the cutoff of its language, and that towards
+the whole corpus's, as if ``PRIOR`` documents had it; nothing is added to it. Documents
+are then filtered by a join with the cutoffs.
 
 Edge cases: a null or blank text has no words, fails the base rule and is not
-kept; null lang or source is a stratum of its own; strata under ``min_docs``
-documents use the cutoffs of the whole corpus; repeated rows count as often as
-they occur and each gets its verdict; an empty table gives no rows. Only the named
-input columns are read, so further columns cannot clash.
+kept; null lang or source is a stratum of its own; small strata have cutoffs near
+those of their language; a document in the bin of a cutoff is kept; repeated rows count
+as often as they occur and each gets its verdict; an empty table gives no rows. Only
+the named input columns are read, so further columns cannot clash; a long text is
+counted whole.
 """
 
 from __future__ import annotations
@@ -24,13 +29,19 @@ from spanforge.llm.common import materialize, slices, table, texts_of
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
-#: metric -> (expression over the counts in integer bins, width added to the upper fence)
+#: One in this many documents of a stratum lies beyond a cutoff of its own.
+TAIL = 100
+#: Documents with which the cutoff of the wider stratum counts.
+PRIOR = 200
+#: metric -> integer bin by the counts; those with a lower cutoff.
 METRICS = {
-    "symbols_permille": ("1000 * n_symbols div greatest(word_chars, 1)", 50),
-    "dup_lines_permille": ("1000 * n_dup_lines div greatest(n_lines, 1)", 250),
-    "repeat_permille": ("1000 * n_repeat_words div greatest(n_words, 1)", 250),
-    "word_length_tenths": ("10 * word_chars div greatest(n_words, 1)", 25),
+    "symbols_permille": "1000 * n_symbols div greatest(word_chars, 1)",
+    "dup_lines_permille": "1000 * n_dup_lines div greatest(n_lines, 1)",
+    "repeat_permille": "1000 * n_repeat_words div greatest(n_words, 1)",
+    "word_length_tenths": "10 * word_chars div greatest(n_words, 1)",
 }
+LOWER = ("word_length_tenths",)
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
@@ -74,61 +85,53 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def quantile_sketch(counts: DataFrame) -> DataFrame:
     """(lang, source, metric, bin, n): mergeable by summing n."""
-    pairs = ", ".join(f"'{m}', {e}" for m, (e, _) in METRICS.items())
+    pairs = ", ".join(f"'{m}', {e}" for m, e in METRICS.items())
     return (
-        counts.where("n_words > 0")
+        counts.where(f"not ({BASE_FAILED})")
         .select("lang", "source", F.expr(f"stack({len(METRICS)}, {pairs}) as (metric, bin)"))
         .groupBy("lang", "source", "metric", "bin")
         .agg(F.count("*").alias("n"))
     )
 
 
-def sketch_quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """q1, q3 and n per keys and metric: the lowest bin that reaches the rank."""
+def sketch_tails(sketch: DataFrame, keys: list[str], tail: int = TAIL) -> DataFrame:
+    """hi, lo and total per keys and metric: the bins that all but 1 / tail stay within."""
     merged = sketch.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "metric")
     run = merged.withColumn("upto", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
     return run.groupBy(*keys, "metric").agg(
-        F.min(F.expr("case when 4 * upto >= total then bin end")).alias("q1"),
-        F.min(F.expr("case when 4 * upto >= 3 * total then bin end")).alias("q3"),
+        F.min(F.expr(f"case when {tail} * upto >= {tail - 1} * total then bin end")).alias("hi"),
+        F.min(F.expr(f"case when {tail} * upto >= total then bin end")).alias("lo"),
         F.max("total").alias("total"),
     )
 
 
-def thresholds(counts: DataFrame, min_docs: int = 50, reach: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Cutoffs per (lang, source), and one row of cutoffs of the whole corpus."""
+def cutoffs(counts: DataFrame, tail: int = TAIL, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, metric, hi, lo) of every stratum that has documents past the base rule."""
     sketch = materialize(quantile_sketch(counts))
+    whole = sketch_tails(sketch, [], tail).select("metric", F.col("hi").alias("hi_w"), F.col("lo").alias("lo_w"))
+    lang = sketch_tails(sketch, ["lang"], tail)
+    drawn = lambda q, n, wide: F.expr(f"({n} * {q} + {prior} * {wide}) div ({n} + {prior})")
+    # a few rows per language
+    lang = lang.join(whole, "metric").select(F.col("lang").alias("lang_l"), F.col("metric").alias("metric_l"), drawn("hi", "total", "hi_w").alias("hi_l"), drawn("lo", "total", "lo_w").alias("lo_l"))
+    own = sketch_tails(sketch, ["lang", "source"], tail)
+    both = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_l")) & (F.col("metric") == F.col("metric_l")))
+    return both.select("lang", "source", "metric", drawn("hi", "total", "hi_l").alias("hi"), drawn("lo", "total", "lo_l").alias("lo"))
 
-    def wide(q: DataFrame, keys: list[str]) -> DataFrame:
-        slack = F.create_map(*[x for m, (_, s) in METRICS.items() for x in (F.lit(m), F.lit(s))])
-        fence = q.withColumn("hi", F.expr(f"q3 + {reach} * (q3 - q1)") + slack[F.col("metric")]).withColumn("lo", F.expr(f"q1 - {reach} * (q3 - q1)") - slack[F.col("metric")])
-        return fence.groupBy(*keys).agg(
-            F.max("total").alias("n_docs"),
-            *[F.max(F.when(F.col("metric") == m, F.col("hi"))).alias(f"hi_{m}") for m in METRICS],
-            F.max(F.when(F.col("metric") == "word_length_tenths", F.col("lo"))).alias("lo_word_length_tenths"),
-        )
 
-    own = wide(sketch_quartiles(sketch, ["lang", "source"]), ["lang", "source"]).where(F.col("n_docs") >= min_docs)
-    return own, wide(sketch_quartiles(sketch, []), [])
-
-
-def adaptive_rules(docs: DataFrame, min_docs: int = 50, reach: int = 3) -> DataFrame:
+def adaptive_rules(docs: DataFrame, tail: int = TAIL, prior: int = PRIOR) -> DataFrame:
     """Counts, base verdict and the verdict of the joined adaptive cutoffs."""
     counts = materialize(document_counts(docs))
-    own, whole = thresholds(counts, min_docs, reach)
-    cuts = [f"hi_{m}" for m in METRICS] + ["lo_word_length_tenths"]
-    row = whole.first()  # one row, whatever the corpus
-    base = {c: (row[c] if row else None) for c in cuts}
-    own = own.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *cuts)
+    limits = {f"hi_{m}": (m, "hi") for m in METRICS} | {f"lo_{m}": (m, "lo") for m in LOWER}
+    each = [F.max(F.when(F.col("metric") == m, F.col(side))).alias(name) for name, (m, side) in limits.items()]
+    own = materialize(cutoffs(counts, tail, prior).groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*each))
     joined = counts.join(own, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     fits = F.lit(True)
-    for m, (e, _) in METRICS.items():
-        fits = fits & (F.expr(e) <= F.coalesce(F.col(f"hi_{m}"), F.lit(base[f"hi_{m}"]).cast("long")))
-    fits = fits & (F.expr(METRICS["word_length_tenths"][0]) >= F.coalesce(F.col("lo_word_length_tenths"), F.lit(base["lo_word_length_tenths"]).cast("long")))
-    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+    for name, (m, side) in limits.items():
+        fits = fits & (F.expr(METRICS[m]) <= F.col(name) if side == "hi" else F.expr(METRICS[m]) >= F.col(name))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & F.coalesce(fits, F.lit(True))).alias("kept"), "lang", "source",
+        F.expr(BASE_FAILED).alias("base_failed"), (~F.expr(BASE_FAILED) & F.coalesce(fits, F.lit(True))).alias("kept"), "lang", "source",
     )
 
 
@@ -138,37 +141,38 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH w AS (
-  SELECT doc_id, lang, source, coalesce(text, '') AS t,
+  SELECT row_number() OVER () AS row_id, doc_id, lang, source, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
          [l FOR l IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(l, '[^\x20\x09-\x0D]')] AS ls
   FROM documents),
 g AS (
-  SELECT doc_id, unnest([ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] FOR i IN range(1, len(ws) - 1)]) AS g,
+  SELECT row_id, unnest([ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] FOR i IN range(1, len(ws) - 1)]) AS g,
          unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3),
-h AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
-r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + o AS p FROM h, (VALUES (0), (1), (2)) v(o)) GROUP BY doc_id),
+h AS (SELECT row_id, i FROM g QUALIFY count(*) OVER (PARTITION BY row_id, g) > 1),
+r AS (SELECT row_id, count(DISTINCT p) AS n FROM (SELECT row_id, i + o AS p FROM h, (VALUES (0), (1), (2)) v(o)) GROUP BY row_id),
 c AS (
-  SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  SELECT w.row_id, w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines
-  FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+  FROM w LEFT JOIN r ON r.row_id = w.row_id),
 m AS (
   SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS m1, 1000 * n_dup_lines // greatest(n_lines, 1) AS m2,
          1000 * n_repeat_words // greatest(n_words, 1) AS m3, 10 * word_chars // greatest(n_words, 1) AS m4 FROM c),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 l AS (
-  SELECT lang, source, 1 AS k, m1 AS b FROM m WHERE n_words > 0 UNION ALL SELECT lang, source, 2, m2 FROM m WHERE n_words > 0
-  UNION ALL SELECT lang, source, 3, m3 FROM m WHERE n_words > 0 UNION ALL SELECT lang, source, 4, m4 FROM m WHERE n_words > 0),
-o AS (SELECT lang, source, k, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM l GROUP BY lang, source, k HAVING count(*) >= 50),
-a AS (SELECT k, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM l GROUP BY k),
-s(k, slack) AS (VALUES (1, 50), (2, 250), (3, 250), (4, 25)),
+  SELECT lang, source, unnest([1, 2, 3, 4]) AS k, unnest([m1, m2, m3, m4]) AS b FROM f WHERE NOT base_failed),
+o1 AS (SELECT lang, source, k, b, sum(count(*)) OVER (PARTITION BY lang, source, k ORDER BY b) AS upto, sum(count(*)) OVER (PARTITION BY lang, source, k) AS n FROM l GROUP BY lang, source, k, b),
+o AS (SELECT lang, source, k, max(n)::BIGINT AS n, min(b) FILTER (100 * upto >= 99 * n) AS hi, min(b) FILTER (100 * upto >= n) AS lo FROM o1 GROUP BY lang, source, k),
+g1 AS (SELECT lang, k, b, sum(count(*)) OVER (PARTITION BY lang, k ORDER BY b) AS upto, sum(count(*)) OVER (PARTITION BY lang, k) AS n FROM l GROUP BY lang, k, b),
+g2 AS (SELECT lang, k, max(n)::BIGINT AS n, min(b) FILTER (100 * upto >= 99 * n) AS hi, min(b) FILTER (100 * upto >= n) AS lo FROM g1 GROUP BY lang, k),
+a1 AS (SELECT k, b, sum(count(*)) OVER (PARTITION BY k ORDER BY b) AS upto, sum(count(*)) OVER (PARTITION BY k) AS n FROM l GROUP BY k, b),
+a AS (SELECT k, min(b) FILTER (100 * upto >= 99 * n) AS hi, min(b) FILTER (100 * upto >= n) AS lo FROM a1 GROUP BY k),
+e AS (SELECT g2.lang, g2.k, (g2.n * g2.hi + 200 * a.hi) // (g2.n + 200) AS hi, (g2.n * g2.lo + 200 * a.lo) // (g2.n + 200) AS lo FROM g2 JOIN a ON a.k = g2.k),
+cut AS (SELECT o.lang, o.source, o.k, (o.n * o.hi + 200 * e.hi) // (o.n + 200) AS hi, (o.n * o.lo + 200 * e.lo) // (o.n + 200) AS lo FROM o JOIN e ON e.k = o.k AND e.lang IS NOT DISTINCT FROM o.lang),
 v AS (
-  SELECT m.doc_id, bool_and(b <= coalesce(o.q3, a.q3) + 3 * (coalesce(o.q3, a.q3) - coalesce(o.q1, a.q1)) + slack
-         AND (s.k < 4 OR b >= coalesce(o.q1, a.q1) - 3 * (coalesce(o.q3, a.q3) - coalesce(o.q1, a.q1)) - slack)) AS fits
-  FROM (SELECT doc_id, lang, source, unnest([1, 2, 3, 4]) AS k, unnest([m1, m2, m3, m4]) AS b FROM m) m
-  JOIN s ON s.k = m.k JOIN a ON a.k = m.k
-  LEFT JOIN o ON o.k = m.k AND o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source GROUP BY m.doc_id)
-SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND v.fits AS kept
-FROM m JOIN v ON v.doc_id = m.doc_id
+  SELECT x.row_id, bool_and(b <= cut.hi AND (x.k < 4 OR b >= cut.lo)) AS fits
+  FROM (SELECT row_id, lang, source, unnest([1, 2, 3, 4]) AS k, unnest([m1, m2, m3, m4]) AS b FROM f) x
+  LEFT JOIN cut ON cut.k = x.k AND cut.lang IS NOT DISTINCT FROM x.lang AND cut.source IS NOT DISTINCT FROM x.source GROUP BY x.row_id)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(v.fits, true) AS kept
+FROM f JOIN v ON v.row_id = f.row_id
 """
