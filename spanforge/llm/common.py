@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,20 +41,45 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
+_written: list[str] = []
+
+
+def materialize(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there.
+
+    ``sweep`` leaves what is ``lasting``.
+    """
     path = f"{shared_dir(df.sparkSession)}/spanforge/{uuid.uuid4().hex}"
+    if not lasting:
+        _written.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame of ``materialize`` that nothing reads any more."""
-    spark = df.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if df.written_path in _written:
+        _written.remove(df.written_path)
+    _delete(df.sparkSession, df.written_path)
+
+
+@contextmanager
+def sweep(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``materialize`` wrote within and was not discarded."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before]:
+            _delete(spark, path)
+            _written.remove(path)
 
 
 def split_of(doc_id: Column) -> Column:

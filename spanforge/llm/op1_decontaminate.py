@@ -16,7 +16,9 @@ splits hot words. Candidates of one document are at most ``size`` per word.
 Edge cases: null and wordless texts have no words, hits or items; null and wordless
 items have no window; an item with a null id counts for hits but has no id to
 report; equal items are reported each; repeated documents give repeated rows; empty
-tables give no rows, or rows without hits. Only the named columns are read.
+tables give no rows, or rows without hits; of equally rare words the first by code
+points is the prefix; long texts are read whole. Only the named columns, and ``key``,
+which is passed on, are read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import materialize, slices, table, texts_of
@@ -83,11 +85,13 @@ def corpus_counts(texts: DataFrame, words: DataFrame) -> DataFrame:
     return words.join(found, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def prefixed_windows(texts: DataFrame, benchmark: DataFrame, size: int = SIZE, **names) -> DataFrame:
+def prefixed_windows(texts: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcast_words: int = 200_000, **names) -> DataFrame:
     """(item_id, words, prefix, at): windows with their rarest word and its place."""
     windows = materialize(item_windows(benchmark, size, **names))
     vocabulary = materialize(windows.select(F.explode("words").alias("word")).distinct())
-    counts = corpus_counts(texts, vocabulary)
+    counts = materialize(corpus_counts(texts, vocabulary))
+    if vocabulary.count() <= broadcast_words:
+        counts = F.broadcast(counts)
     each = windows.select("item_id", "words", F.posexplode("words").alias("at", "word")).join(counts, "word")
     rarest = each.groupBy("item_id", "words").agg(F.min(F.struct("n", "word", "at")).alias("low"))
     return materialize(rarest.select("item_id", "words", F.col("low.word").alias("prefix"), F.col("low.at").cast("int").alias("at")))
@@ -106,33 +110,32 @@ def _candidates(bits, size):
                 n_words.append(len(words))
                 found.append([{"word": words[i].decode(), "pos": i, "low": max(0, i - reach), "near": [w.decode() for w in words[max(0, i - reach) : i + reach + 1]]} for i in hits])
             kind = pa.list_(pa.struct([("word", pa.string()), ("pos", pa.int32()), ("low", pa.int32()), ("near", pa.list_(pa.string()))]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(found, kind)], ["row", "doc_id", "n_words", "found"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(found, kind), b.column(3)], ["row", "doc_id", "n_words", "found", "key"])
 
     return run
 
 
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcast_windows: int = 200_000, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per document."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcast_windows: int = 200_000, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, **names) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans, key; one row per document."""
     spark = docs.sparkSession
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.lit(None) if key is None else key).cast("binary").alias("key"))
     windows = prefixed_windows(texts, benchmark, size, **names)
     bits = spark.sparkContext.broadcast(_bitmap(windows.select(F.col("prefix").alias("word"))))
-    schema = "row long, doc_id long, n_words long, found array<struct<word string, pos int, low int, near array<string>>>"
-    rows = texts.mapInArrow(_candidates(bits, size), schema).select("row", "doc_id", "n_words", F.explode_outer("found").alias("f"))
+    schema = "row long, doc_id long, n_words long, found array<struct<word string, pos int, low int, near array<string>>>, key binary"
+    rows = texts.mapInArrow(_candidates(bits, size), schema).select("row", "doc_id", "n_words", "key", F.explode_outer("found").alias("f"))
     # rows without a candidate get a key of their own, so that no null key gathers them
-    rows = rows.select("row", "doc_id", "n_words", F.coalesce("f.word", F.concat(F.lit(" "), F.col("row").cast("string"))).alias("prefix"), "f.pos", "f.low", "f.near")
+    rows = rows.select("row", "doc_id", "n_words", "key", F.coalesce("f.word", F.concat(F.lit(" "), F.col("row").cast("string"))).alias("prefix"), "f.pos", "f.low", "f.near")
     side = F.broadcast(windows) if windows.count() <= broadcast_windows else windows
     joined = rows.join(side, "prefix", "left").withColumn("start", F.col("pos") - F.col("at"))
     fits = (F.col("start") >= 0) & (F.col("start") + F.size("words") <= F.col("n_words")) & (F.expr("slice(near, start - low + 1, size(words))") == F.col("words"))
     span = F.when(fits, F.struct("start", (F.col("start") + F.size("words")).alias("stop")))
     # within one document: spans are at most its length, items are those that occur in it
     grouped = joined.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set(F.when(fits, F.col("item_id")))).alias("items")
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("key").alias("key"), F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set(F.when(fits, F.col("item_id")))).alias("items")
     )
     hit = F.expr("aggregate(spans, struct(0L as n, 0 as upto), (a, s) -> struct(a.n + greatest(0, s.stop - greatest(s.start, a.upto)) as n, greatest(a.upto, s.stop) as upto), a -> a.n)")
     return grouped.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "items", "spans"
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "items", "spans", "key"
     )
 
 

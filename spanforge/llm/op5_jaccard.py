@@ -43,14 +43,14 @@ Edge cases: null, empty and wordless texts have an empty set and stay alone; tex
 fewer words than a shingle are one shingle; equal rows link; a null doc_id takes the
 component of its copies, or null; an empty table gives no rows; long texts are hashed
 in pieces of ``PIECE`` bytes, and blocks are bounded by shingles as well as members.
-Columns besides the id and the text are not read. Shingles are 64-bit hashes.
+Columns besides the id and the text, and ``key``, which is passed on, are not read. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import connected_labels, discard, materialize, slices, table, texts_of
@@ -236,13 +236,15 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _meta(width, ids):
+    """Sets of (doc_id, text, key)."""
+
     def run(batches):
         shingler = Shingler(width)
         for b in slices(batches):
             sets = shingler.sets(texts_of(b))
             both = [ids.both(s) if len(s) else (None, None) for s in sets]
-            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_id", "check", "sketch"])
+            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), b.column(2)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_id", "check", "sketch", "key"])
 
     return run
 
@@ -570,11 +572,11 @@ def set_components(texts: DataFrame, light: DataFrame, width: int = WIDTH, ident
     return labels
 
 
-def components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 64) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_id; one row per input row."""
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 64, key: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, label (of the component, null for empty sets), key; one row per input row."""
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.lit(None) if key is None else key).cast("binary").alias("key"))
     texts = picked.select("text")
-    meta = materialize(picked.mapInArrow(_meta(width, SetIds(id_bits)), "doc_id long, n_shingles long, set_id long, check long, sketch array<long>"))
+    meta = materialize(picked.mapInArrow(_meta(width, SetIds(id_bits)), "doc_id long, n_shingles long, set_id long, check long, sketch array<long>, key binary"))
 
     def distinct_sets() -> DataFrame:
         by = meta.where("set_id is not null").groupBy("set_id")
@@ -592,8 +594,8 @@ def components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text
     lows = meta.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low"))
     tagged = lows.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").select("set_id", "low", F.coalesce("label", "set_id").alias("label"))
     ends = tagged.groupBy("label").agg(F.min("low").alias("component_id"))
-    by_set = tagged.join(ends, "label").select("set_id", "component_id")
-    return meta.join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_id")
+    by_set = tagged.join(ends, "label").select("set_id", "component_id", "label")
+    return meta.join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "label", "key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

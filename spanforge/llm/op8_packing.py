@@ -7,20 +7,24 @@ ids are cut off first; the rest of each document is cut into halves of what is l
 windows by differencing: the two partial partitions with the largest spread are
 merged, the fullest side of one with the emptiest of the other, until one is left.
 If its fullest window exceeds the capacity, the window count rises by one and the
-block is split again. What is left at the end of a partition is cut into sequences
-whose lengths are powers of two, which need no padding.
+block is split again. What is left at the end of a partition is a block of as many
+windows as it fills; the rest, less than one window, is cut into sequences whose lengths
+are powers of two, which need no padding.
 
-One pass without a shuffle; memory is one block and one batch. A partition's pieces
+One pass without a shuffle; memory is one block, one batch and the words remembered,
+which are bounded in bytes. A partition's pieces
 depend on its rows only, so a lost task gives the same pieces again.
 
 Edge cases: a null text is empty and gives the end id alone; repeated rows are
 packed as often as they occur; an empty table gives no rows; ids are those of the
-whole text, however long.
+whole text, however long; ties between partial partitions go by place. Columns besides
+the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 from unicodedata import normalize
 from zlib import crc32
 
@@ -36,10 +40,12 @@ WINDOW = 2048
 BLOCK_WINDOWS = 16
 #: Ids left free in each window of a full block, so that near-equal windows fit.
 SLACK = 3
-#: Words remembered by a worker process (about 200 bytes each, letters apart).
-CACHE_WORDS = 1 << 20
+#: Bytes of words remembered by a worker process, and what a word costs besides its letters and ids.
+CACHE_BYTES, WORD_BYTES = 192 << 20, 180
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_loaded: dict[tuple[str, int], WordEncoder] = {}
+#: Bytes of text encoded at once.
+TEXT_BYTES = 1 << 21
+_loaded: dict[str, WordEncoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -48,26 +54,62 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Remembered(dict):
+    """A mapping that forgets what was long not asked for, bounded in bytes.
+
+    New entries go to a young half; when that is full, it becomes the old one, which is
+    forgotten at the next such time but for entries recalled from it.
+    """
+
+    def __init__(self, size: int) -> None:
+        super().__init__()
+        self.most, self.size, self.old = size // 2, 0, {}
+
+    def put(self, key: str, value: bytes) -> None:
+        self.size += WORD_BYTES + len(key) + len(value)
+        self[key] = value
+
+    def recall(self, key: str) -> bool:
+        """Whether the key is known; brings it to the young half."""
+        if key in self:
+            return True
+        if (value := self.old.get(key)) is None:
+            return False
+        self.put(key, value)
+        return True
+
+    def age(self) -> None:
+        """To be called between uses; forgets only when the young half is full."""
+        if self.size > self.most:
+            self.old = dict(self)
+            self.clear()
+            self.size = 0
+
+
+#: A comma or stop after a letter or digit (by any version of Unicode) and before white space: a token of its own.
+_PARTED = [(" " + m, re.compile(rf"\{m}(?<=[A-Za-z0-9\xdf-\xf6\xf8-\xff\u03b1-\u03c9\u0430-\u044f]\{m})(?=[ \n])")) for m in ",."]
+
+
 class WordEncoder:
-    """Ids of texts from a tokenizer that drops white space.
+    """Ids of texts from a tokenizer that drops white space and parts letters from marks.
 
     Such a tokenizer never joins characters across white space, so a text's ids are
     those of its parts between spaces and line ends in turn, and those are remembered
-    up to a bound. A part of letters, or of letters and closing marks, is looked up by
-    its letters; new letter words are encoded in one call, whose ids are
-    told apart by the vocabulary's word-end mark.
+    up to a bound in bytes. Commas and stops after a word are parted from it first. A
+    part of letters, or of letters and closing marks, is looked up by its letters; new
+    letter words are encoded in one call, whose ids are told apart by the vocabulary's
+    word-end mark.
     """
 
     END = "</w>"
     MARKS = ".,;:!?|&%*$#"
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache_words = Tokenizer.from_file(path), cache_words
+        self.tokenizer = Tokenizer.from_file(path)
         # ids as little-endian unsigned 32-bit bytes, which join fast and burden no collector
-        self.known: dict[str, bytes] = {"": b""}
-        self.letters: dict[str, bytes] = {}
+        self.known = Remembered(cache_bytes)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith(self.END)
@@ -75,51 +117,73 @@ class WordEncoder:
     def _each(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _learn_letters(self, words: list[str]) -> None:
+    def _letter_words(self, words: list[str]) -> list[bytes]:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(words) and (not len(stops) or stops[-1] == len(ids)):
-            flat, cuts = ids.tobytes(), (4 * stops).tolist()
-            self.letters.update((w, flat[at:stop]) for w, at, stop in zip(words, [0, *cuts], cuts, strict=False))
-        else:  # the vocabulary has no such mark
-            self.letters.update(zip(words, self._each(words), strict=True))
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return self._each(words)  # the vocabulary has no such mark
+        flat, cuts = ids.tobytes(), (4 * stops).tolist()
+        return [flat[at:stop] for at, stop in zip([0, *cuts], cuts, strict=False)]
 
     def _learn(self, parts: set[str]) -> None:
+        known = self.known
         plain: list[tuple[str, str, str]] = []
-        other = []
+        other, new, marks = [], set(), set()
         for p in parts:
             word = p.rstrip(self.MARKS)
             # beyond ASCII, a letter may be normalized to a letter and a mark of its own
             if word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha()):
-                plain.append((p, word.lower() if word.isascii() else word, p[len(word) :]))
+                mark, word = p[len(word) :], word.lower() if word.isascii() else word
+                if not known.recall(word):
+                    new.add(word)
+                if mark:
+                    marks.add(mark)
+                if word != p:
+                    plain.append((p, word, mark))
             else:
                 other.append(p)
-        if new := list({w for _, w, _ in plain if w not in self.letters}):
-            self._learn_letters(new)
-        marks = list({m for _, _, m in plain})
-        marks = dict(zip(marks, self._each(marks), strict=True))
-        letters = self.letters
-        self.known.update((p, letters[w] + marks[m] if m else letters[w]) for p, w, m in plain)
-        self.known.update(zip(other, self._each(other), strict=True))
+        if new:
+            words = list(new)
+            for word, ids in zip(words, self._letter_words(words), strict=True):
+                known.put(word, ids)
+        ends = dict(zip(marks, self._each(list(marks)), strict=True))
+        for p, word, mark in plain:
+            known.put(p, known[word] + ends[mark] if mark else known[word])
+        for p, ids in zip(other, self._each(other), strict=True):
+            known.put(p, ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit bytes."""
-        if len(self.known) > self.cache_words:
-            self.known = {"": b""}
-        if len(self.letters) > self.cache_words:
-            self.letters = {}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if new := {w for w in set().union(*split) if w not in self.known}:
+        known, split = self.known, []
+        known.age()
+        for t in texts:
+            for mark, pattern in _PARTED:
+                t = pattern.sub(mark, t)
+            split.append(t.replace("\n", " ").split(" "))
+        if new := {w for w in set().union(*split) if w not in known and not known.recall(w)}:
             self._learn(new)
-        get = self.known.__getitem__
+        get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
-def encoder(path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
-    """One per worker process, tokenizer and bound."""
-    if (path, cache_words) not in _loaded:
-        _loaded[path, cache_words] = WordEncoder(path, cache_words)
-    return _loaded[path, cache_words]
+def pieces(text: str, size: int = TEXT_BYTES) -> list[str]:
+    """The text cut at spaces, which it loses there, into about ``size`` characters each."""
+    out, low = [], 0
+    while len(text) - low > size:
+        cut = text.rfind(" ", low, low + size)
+        cut = cut if cut >= 0 else text.find(" ", low + size)
+        if cut < 0:
+            break
+        out.append(text[low:cut])
+        low = cut + 1
+    return [*out, text[low:]]
+
+
+def encoder(path: str) -> WordEncoder:
+    """One per worker process and tokenizer."""
+    if path not in _loaded:
+        _loaded[path] = WordEncoder(path)
+    return _loaded[path]
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -185,22 +249,34 @@ class _Packer:
             if self.held == self.room:
                 self._block()
 
+    def _take(self, size: int) -> list[tuple]:
+        """The first ``size`` ids of what is held; an item is cut where they end."""
+        part, at = [], 0
+        while size:
+            doc_id, start, ids, total = self.items[at]
+            at += 1
+            if len(ids) > 4 * size:
+                at -= 1
+                self.items[at] = (doc_id, start + size, ids[4 * size :], total)
+                ids = ids[: 4 * size]
+            size -= len(ids) // 4
+            part.append((doc_id, start, ids, total))
+        del self.items[:at]
+        return part
+
     def finish(self) -> None:
-        """The rest, as sequences whose lengths are powers of two."""
-        left, items = self.held, self.items[::-1]
-        while left:
-            size = min(self.window, 1 << (left.bit_length() - 1))
-            left -= size
-            part = []
-            while size:
-                doc_id, start, ids, total = items.pop()
-                if len(ids) > 4 * size:
-                    items.append((doc_id, start + size, ids[4 * size :], total))
-                    ids = ids[: 4 * size]
-                size -= len(ids) // 4
-                part.append((doc_id, start, ids, total))
-            self._sequence(part)
-        self.items, self.held = [], 0
+        """The rest: whole windows by differencing, then sequences whose lengths are powers of two."""
+        full = self.held // (self.window - SLACK) * (self.window - SLACK)
+        if full:
+            rest = self.held - full
+            part = self._take(full)
+            later, self.items = self.items, part
+            self._block()
+            self.items, self.held = later, rest
+        while self.held:
+            size = 1 << (self.held.bit_length() - 1)
+            self._sequence(self._take(size))
+            self.held -= size
 
     def drain(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
@@ -208,7 +284,7 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 7)], names)
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence."""
     path = tokenizer_path or default_tokenizer()
 
@@ -216,11 +292,13 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        packer, enc = _Packer(window, TaskContext.get().partitionId() << 40), encoder(path, cache_words)
+        packer, enc = _Packer(window, TaskContext.get().partitionId() << 40), encoder(path)
         last = np.array([end_id], "<u4").tobytes()
-        for b in slices(batches):
-            ids = b.column(0).to_pylist()
-            for doc_id, tokens in zip(ids, enc.encode([t.decode("utf-8", "replace") for t in texts_of(b)]), strict=True):
+        for b in slices(batches, size=TEXT_BYTES):
+            ids, texts = b.column(0).to_pylist(), [t.decode("utf-8", "replace") for t in texts_of(b)]
+            # only a text that is a slice of its own is long
+            encoded = enc.encode(texts) if len(texts) > 1 else [b"".join(enc.encode([p])[0] for p in pieces(t)) for t in texts]
+            for doc_id, tokens in zip(ids, encoded, strict=True):
                 packer.add(doc_id, tokens + last)
             yield packer.drain()
         packer.finish()

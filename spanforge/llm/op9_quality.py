@@ -9,13 +9,18 @@ under either dictionary) makes the score; it is fitted on labelled rows that bui
 no dictionary.
 
 Fitting uses at most about ``per_class`` labelled rows of each class (chosen by a
-hash of doc_id) and up to ``DOC_CHUNKS`` evenly spaced chunks of each. Scoring is one
-pass over all rows without a shuffle.
+hash of doc_id), whose whole texts are read. The half that builds the dictionaries
+goes to the driver as chunks, of a text over ``DOC_BYTES`` as what a dictionary of the
+whole text keeps; the other half's sizes are taken by tasks. So the driver holds at most
+``per_class`` times ``DOC_BYTES`` bytes. Scoring is one pass over all rows without a
+shuffle.
 
 Edge cases: null and empty texts have both terms 0 and get the curve's value there;
 null labels are ignored; rows labelled twice count as bad if any label is bad; a
 training set with one class, or none, scores every row with its share of good
-labels (0.5 if none); repeated rows are scored alike; an empty table gives no rows.
+labels (0.5 if none); repeated rows are scored alike; an empty table gives no rows;
+texts of any length are read whole; scores of 0.7 are predicted 1. Only the named
+columns are read by ``fit`` and ``score``; ``keep_good`` passes all columns on.
 """
 
 from __future__ import annotations
@@ -31,7 +36,8 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import fit_logistic, hash_fraction_sample, held_out, sigmoid, slices, split_of, table, texts_of
 
 CHUNK = 2048
-DOC_CHUNKS = 4
+#: Bytes of a text that reach the driver as they are; longer ones are condensed by parts of ``PART_BYTES``.
+DOC_BYTES, PART_BYTES = 1 << 16, 1 << 22
 DICT_BYTES = 112 << 10
 LEVEL = 3
 THRESHOLD = 0.7
@@ -51,22 +57,39 @@ def chunks_of(text: bytes) -> list[bytes]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _picked(batches):
+def condensed(parts: list[bytes]) -> list[bytes]:
+    """Chunks of at most ``DOC_BYTES`` that dictionaries of the whole text keep, if it is longer."""
+    while sum(map(len, parts)) > DOC_BYTES:
+        step, kept = PART_BYTES // CHUNK, []
+        for low in range(0, len(parts), step):
+            group = parts[low : low + step]
+            size = min(DOC_BYTES, sum(map(len, group)) // 2)
+            kept += chunks_of(_dictionary(group, size)[-size:])
+        parts = kept
+    return parts
+
+
+def _samples(batches):
     for b in slices(batches):
-        out = []
-        for text in texts_of(b):
-            parts = chunks_of(text)
-            step = max(1, -(-len(parts) // DOC_CHUNKS))
-            out.append(parts[::step])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "label", "parts"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([condensed(chunks_of(t)) for t in texts_of(b)], pa.list_(pa.binary()))], ["doc_id", "label", "parts"])
+
+
+def _sizes(shared):
+    def run(batches):
+        good, bad = shared.value
+        for b in slices(batches):
+            x = size_features(texts_of(b), good, bad)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], ["doc_id", "label", "difference", "share"])
+
+    return run
 
 
-def _dictionary(samples: list[bytes]) -> bytes:
+def _dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
     """A trained dictionary; the plain text itself where there is too little to train on."""
     try:
-        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-DICT_BYTES:]
+        return b"".join(samples)[-size:]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -92,7 +115,7 @@ def scores_of(texts: list[bytes], model: QualityModel) -> np.ndarray:
     return sigmoid(size_features(texts, model.good, model.bad) @ np.array(model.curve[:2]) + model.curve[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Dictionaries and curve from labelled rows outside the held-out quarter."""
     known = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -108,19 +131,30 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, id_col: str =
     sample = hash_fraction_sample(known.where("label = 0"), F.col("doc_id"), per_class).union(hash_fraction_sample(known.where("label = 1"), F.col("doc_id"), per_class))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # bounded: at most about 2 * per_class pairs of an id and a label
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(_picked, "doc_id long, label int, parts array<binary>").collect()
-    half: dict[tuple[int, int], list] = {(c, h): [] for c in (0, 1) for h in (0, 1)}
-    for r in sorted(rows, key=lambda r: (r["doc_id"], b"".join(r["parts"]))):
-        half[r["label"], (r["doc_id"] // 8) % 2].append([bytes(p) for p in r["parts"]])
-    built = {}
+    rows = texts.join(F.broadcast(sample.withColumn("half", F.expr("(doc_id div 8) % 2"))), "doc_id")
+
+    def of_half(c: int, h: int, run, schema: str) -> list:
+        return rows.where((F.col("label") == c) & (F.col("half") == h)).select("doc_id", "label", "text").mapInArrow(run, f"doc_id long, label int, {schema}").collect()
+
+    built, told = {}, {}
     for c in (0, 1):
-        parts = [p for doc in half[c, 0] or half[c, 1] for p in doc if p]
+        for told[c] in (1, 0):  # the half that tells sizes is not the one that builds, unless one is empty
+            found = sorted((r["doc_id"], [bytes(p) for p in r["parts"]]) for r in of_half(c, 1 - told[c], _samples, "parts array<binary>"))
+            parts = [p for _, doc in found for p in doc if p]
+            if parts:
+                break
         built[c] = _dictionary(parts) if parts else b""
     if not built[0] or not built[1]:
         return QualityModel(b"", b"", (0.0, 0.0, float(np.log(share[1] / share[0]))))
-    test = [(doc, c) for c in (0, 1) for doc in (half[c, 1] or half[c, 0])]
-    x = size_features([b"".join(doc) for doc, _ in test], built[1], built[0]) * np.array([20, 1])
-    y = np.array([c for _, c in test], float)
+    shared = docs.sparkSession.sparkContext.broadcast((built[1], built[0]))
+    test = []
+    for c in (0, 1):
+        here = of_half(c, told[c], _sizes(shared), "difference double, share double")
+        test += here or of_half(c, 1 - told[c], _sizes(shared), "difference double, share double")
+    shared.destroy()
+    test.sort(key=lambda r: (r["doc_id"], r["label"], r["difference"], r["share"]))
+    x = np.array([(r["difference"], r["share"]) for r in test]) * np.array([20, 1])
+    y = np.array([r["label"] for r in test], float)
     weight = np.where(y == 1, share[1] / max(1, (y == 1).sum()), share[0] / max(1, (y == 0).sum()))
     w = fit_logistic(x, y, weight=weight, steps=3000)
     return QualityModel(built[1], built[0], (float(w[0] * 20), float(w[1]), float(w[2])))

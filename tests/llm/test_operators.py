@@ -4,6 +4,8 @@ import collections
 import re
 import zlib
 
+import hypothesis
+import hypothesis.strategies
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -296,7 +298,30 @@ def test_differencing_rises_when_full():
     assert sorted(i for g in groups for i in g) == [0, 1, 2] and len(groups) == 3
 
 
-@pytest.mark.parametrize("text", ["", "İ* don't ΣΑΣ. x.,", "a\x1cb <|endoftext|> 中文。", "A!! B|| 1²"])
+def test_long_texts_are_encoded_in_pieces():
+    e = op8_packing.encoder(op8_packing.default_tokenizer())
+    for text in ("one two  three\nfour " * 99, "x" * 500, " " * 70, LONG[:5000]):
+        cut = op8_packing.pieces(text, 50)
+        assert " ".join(cut) == text and b"".join(e.encode([p])[0] for p in cut) == e.encode([text])[0]
+
+
+def test_words_are_remembered_within_bounds():
+    path = op8_packing.default_tokenizer()
+    plain, small = op8_packing.encoder(path), op8_packing.WordEncoder(path, 30_000)
+    for low in range(0, 3000, 30):
+        texts = ["common words, here! " + " ".join(f"w{'abcdefghij'[k % 10] * (k % 7)}{k}" for k in range(low, low + 30))]
+        assert small.encode(texts) == plain.encode(texts)
+        assert len(small.known) + len(small.known.old) < 400
+
+
+def test_small_partitions_are_differenced(spark):
+    text = " ".join(f"word{i}" for i in range(700))
+    df = spark.createDataFrame([(i, text) for i in range(12)], "doc_id long, text string").repartition(3)
+    size = op8_packing.pack(df).toPandas().groupby("sequence_id").length.sum()
+    assert (size > 2000).sum() >= 9 and (2048 - size[(size & (size - 1)) != 0]).sum() < 0.01 * size.sum()
+
+
+@pytest.mark.parametrize("text", ["", "İ* don't ΣΑΣ. x.,", "a\x1cb <|endoftext|> 中文。", "A!! B|| 1²", "w.! x, y). z", "w... x.\ny,", "a\0. b!\0 c", "1, 2. ², é.", "x., y"])
 def test_encoder_equals_tokenizer(text):
     e = op8_packing.encoder(op8_packing.default_tokenizer())
     assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
@@ -369,3 +394,18 @@ def test_cutoffs_are_learned(spark, data):
     one = high[high.metric == "word_length_tenths"].iloc[0]
     bins = sorted((10 * r.word_chars) // max(r.n_words, 1) for r in counts.itertuples() if r.lang == one.lang and r.source == one.source)
     assert one.hi == bins[-(-99 * len(bins) // 100) - 1] and one.lo == bins[-(-len(bins) // 100) - 1]
+
+
+def test_long_labelled_texts_are_condensed():
+    rng = np.random.default_rng(1)
+    parts = op9_quality.chunks_of(b" ".join(b"w%d" % (i % 997) for i in rng.integers(0, 1 << 30, 200_000)))
+    kept = op9_quality.condensed(parts)
+    assert len(b"".join(parts)) > 10 * op9_quality.DOC_BYTES >= len(b"".join(kept)) > 0
+    assert op9_quality.condensed(parts[:5]) == parts[:5]
+
+
+@hypothesis.settings(max_examples=400, deadline=None)
+@hypothesis.given(hypothesis.strategies.text(hypothesis.strategies.sampled_from("aZé9 \n\0.,;:!?'|)²中\u0301s")))
+def test_encoder_equals_tokenizer_on_any_text(text):
+    e = op8_packing.encoder(op8_packing.default_tokenizer())
+    assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
