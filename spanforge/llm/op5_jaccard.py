@@ -27,12 +27,14 @@ verified against the hub it shares most segments with (the hub of a segment is i
 member that shares most segments with others: the text that copies were made from,
 if it is there); then against its other hubs where their components still differ;
 and last, segments whose members still lie in several components are searched in
-blocks of bounded size, twice: by sketches, which leaves the members that have a near
-one in another component, then by the shingles of those. The second search links
-exactly and keeps the components of its block, so that it skips pairs of one
-component and gives a spanning forest: a block gives fewer rows than it has members,
-and no table of pairs is ever written. Pairs within a component need no check, as
-they cannot change it.
+blocks of bounded size. Sketches leave the members that have a near one in another
+component, each with the head of its cluster of near ones in the block; clusters are
+joined over all blocks. What links lies in one cluster, so each cluster is a block of
+a second search, by shingles, with every set once; of clusters too large for a block,
+the blocks of the first search are searched again. The second search links exactly and
+keeps the components of its block, so that it skips pairs of one component and gives a
+spanning forest: a block gives fewer rows than it has members, and no table of pairs
+is ever written. Pairs within a component need no check, as they cannot change it.
 Before verification, pairs are bounded by their sizes and the Hamming distance of
 sketches as long as the sets; shingles are fetched only for what passes this.
 
@@ -410,11 +412,14 @@ def _folded(sketches: pa.ListArray) -> np.ndarray:
 
 
 def _near_in_group(group: pa.Table, percent: int) -> np.ndarray:
-    """Which members have another, of another component, that sizes and sketches let them link with."""
+    """The first member of each member's cluster.
+
+    Members of different components that sizes and sketches let link are in one cluster.
+    """
     col = {c: group.column(c).to_numpy() for c in ("label", "n", "side")}
     m = _folded(group.column("sketch").combine_chunks())
     split, k = len(np.unique(col["side"])) > 1, len(m)
-    step, out = max(1, PAIR_WORDS // m.size), np.zeros(k, bool)
+    step, head = max(1, PAIR_WORDS // m.size), np.arange(k)
     for i in range(0, k, step):
         apart = np.bitwise_count(m[i : i + step, None, :] ^ m[None, i:, :]).sum(2, dtype=np.int64)
         n, o = col["n"][i : i + step, None], col["n"][None, i:]
@@ -422,9 +427,16 @@ def _near_in_group(group: pa.Table, percent: int) -> np.ndarray:
         fits &= col["label"][i : i + step, None] != col["label"][None, i:]
         if split:
             fits &= col["side"][i : i + step, None] != col["side"][None, i:]
-        out[i : i + step] |= fits.any(1)
-        out[i:] |= fits.any(0)
-    return out
+        x, y = np.nonzero(fits)
+        while len(x):
+            hx, hy = head[x + i], head[y + i]
+            differ = hx != hy
+            if not differ.any():
+                break
+            np.minimum.at(head, np.maximum(hx, hy)[differ], np.minimum(hx, hy)[differ])
+            while (head[head] != head).any():
+                head = head[head]
+    return head
 
 
 def forest(ids: np.ndarray, labels: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -484,11 +496,14 @@ def _by_block(judge):
 
 
 def _near_members(percent):
-    """(block, side, id, label) of the members that have a near one across components."""
+    """(block, side, id, label, head) of the members that have a near one across components."""
 
     def judge(group):
         if len(group) > 1:
-            yield from group.filter(pa.array(_near_in_group(group, percent))).select(["block", "side", "id", "label"]).to_batches()
+            head = _near_in_group(group, percent)
+            near = np.bincount(head, minlength=len(head))[head] > 1
+            out = group.select(["block", "side", "id", "label"]).append_column("head", pa.array(group.column("id").to_numpy()[head]))
+            yield from out.filter(pa.array(near)).to_batches()
 
     return _by_block(judge)
 
@@ -507,7 +522,7 @@ def _forest(percent):
 
 
 def _open_members(members: DataFrame, labels: DataFrame, light: DataFrame, percent: int = 80) -> DataFrame:
-    """(block, side, id, label) of the members of open segments with a near one elsewhere.
+    """(block, side, id, label, head) of the members of open segments with a near one elsewhere.
 
     A segment whose members lie in several components is open. Its members are dealt
     to sides of at most ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles; every pair
@@ -520,7 +535,21 @@ def _open_members(members: DataFrame, labels: DataFrame, light: DataFrame, perce
     open_ = tagged.join(mixed.select("key", parts.alias("parts")), "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     sent = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = sent.join(light.select(F.col("set_id").alias("id"), "sketch"), "id").select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("block"), "side", "id", "label", "n", "sketch")
-    return _blocked(rows).mapInArrow(_near_members(percent), "block long, side int, id long, label long")
+    return _blocked(rows).mapInArrow(_near_members(percent), "block long, side int, id long, label long, head long")
+
+
+def _second_blocks(near: DataFrame, light: DataFrame) -> DataFrame:
+    """(block, side, id, label): each cluster of near members, or the blocks of those too large."""
+    clusters = connected_labels(near.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
+    sets = near.select("id", "label").distinct().join(clusters.select(F.col("node").alias("id"), F.col("label").alias("cluster")), "id")
+    sets = materialize(sets.join(light.select(F.col("set_id").alias("id"), "n"), "id"))
+    large = sets.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).where((F.col("size") > BLOCK) | (F.col("tokens") > BLOCK_SHINGLES)).select("cluster")
+    small = sets.join(large, "cluster", "left_anti").select(F.col("cluster").alias("block"), F.lit(0).alias("side"), "id", "label")
+    again = near.join(sets.join(large, "cluster", "left_semi").select("id"), "id", "left_semi").select("block", "side", "id", "label")
+    out = materialize(small.unionByName(again))
+    discard(sets)
+    discard(clusters)
+    return out
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
@@ -561,10 +590,12 @@ def set_components(texts: DataFrame, light: DataFrame, width: int = WIDTH, ident
     last = materialize(_open_members(members, labels, light))
     parts = [links, more]
     if last.limit(1).count():
-        sets = fetched(last.select("id"))
-        rows = last.join(sets.withColumnRenamed("set_id", "id"), "id").select("block", "side", "id", "label", "shingles")
+        second = _second_blocks(last, light)
+        sets = fetched(second.select("id"))
+        rows = second.join(sets.withColumnRenamed("set_id", "id"), "id").select("block", "side", "id", "label", "shingles")
         parts.append(materialize(_blocked(rows).mapInArrow(_forest(80), "a long, b long")))
         discard(sets)
+        discard(second)
         discard(labels)
         labels = connected_labels(links.union(more).union(parts[-1]))
     for done in (members, votes, last, *parts):
