@@ -88,8 +88,9 @@ ANY = "|".join(PATTERNS.values())
 #: Also every word with a capital, for documents with a name.
 ANY_OR_WORD = ANY + rf"|(?<![\p{{L}}\p{{N}}]){_WORD}"
 HAS_TITLE = rf"{_TITLE}\p{{Lu}}"
-#: Cheap test that every text with an entity passes, with HAS_TITLE.
-HAS_DIGIT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|api.?key) ?[=:]|AKIA|ASIA|gh[opsu]_|xox[abp]-|[sp]k[-_](?:live|test)"
+#: Cheap tests, one of which every text with an entity passes, besides HAS_TITLE; each
+#: tries only places of few characters.
+HINTS = (r"[0-9@=]", r"[:_-](?<=(?i:password|passwd|pwd|secret|token|api[_-]?key) ?:|gh[opsu]_|xox[abp]-|[spr]k[_-])", r"A[KS]IA")
 
 
 def _lit(text: str) -> str:
@@ -243,7 +244,10 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: st
     """All rows and columns of ``docs``, entities of the text column replaced."""
     row = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
     titled = F.col("text").rlike(HAS_TITLE)
-    likely = F.coalesce(F.col("text").rlike(HAS_DIGIT) | titled, F.lit(False))
+    likely = titled
+    for hint in reversed(HINTS):
+        likely = F.col("text").rlike(hint) | likely
+    likely = F.coalesce(likely, F.lit(False))
     has = F.coalesce(likely & F.col("text").rlike(ANY), F.lit(False))
     pattern = f"case when text rlike {_lit(HAS_TITLE)} then {_lit(ANY_OR_WORD)} else {_lit(ANY)} end"
     matches = F.expr(f"transform(regexp_extract_all(text, {pattern}, 0), x -> named_struct('m', x, 'kind', {_kind('x')}))")

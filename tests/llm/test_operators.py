@@ -409,3 +409,28 @@ def test_long_labelled_texts_are_condensed():
 def test_encoder_equals_tokenizer_on_any_text(text):
     e = op8_packing.encoder(op8_packing.default_tokenizer())
     assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_license_scores_by_brute_force(spark):
+    """TF-IDF cosine of every compared text with every template, term by term."""
+    texts = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0", op3_license.TEMPLATES["MIT"][-1], "Copyright words and other words", "all rights reserved, licence licence", op3_license.TEMPLATES["GPL-2.0"][-1][:9000], "This library is free software under the GNU Lesser General Public License"]
+    units = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "unit_id string, unit string")
+    got = {int(r["unit_id"]): (r["license"], r["score"]) for r in op3_license.classify(units, least=0.3).collect()}
+    terms = lambda t: collections.Counter(x for x in (w.rstrip(".") for w in re.split("[^a-z0-9.]+", t.lower())) if x)
+    forms = [(n, terms(t)) for n, ts in sorted(op3_license.TEMPLATES.items()) for t in ts]
+    bags = [terms(t) for t in texts]
+    df = collections.Counter(w for b in [*bags, *(f for _, f in forms)] for w in b)
+    idf = {w: np.log((len(bags) + len(forms) + 1) / (n + 1)) + 1 for w, n in df.items()}
+    norm = lambda b: sum((n * idf[w]) ** 2 for w, n in b.items()) ** 0.5
+    want = {}
+    for i, b in enumerate(bags):
+        score, name = min((-round(sum(n * b[w] * idf[w] ** 2 for w, n in f.items()) / (norm(b) * norm(f)), 9), name) for name, f in forms)
+        if -score >= 0.3:
+            want[i] = (name, -score)
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-8 for i in want)
+    assert {want[i][0] for i in (0, 1, 2, 5)} == {"MIT", "Apache-2.0", "GPL-2.0"}
+
+
+def test_equal_license_scores_go_to_the_first_name(spark):
+    units = spark.createDataFrame([("1", "one two three")], "unit_id string, unit string")
+    assert op3_license.classify(units, {"B": ["one two three"], "A": ["one two three"]}).first()["license"] == "A"
