@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 import spanforge
 from spanforge.functions import routing
+from spanforge.functions.text import price_per_token
 from spanforge.operators import diff, search
+from spanforge.operators.documents import reconstruct
 from spanforge.operators.embed import build, embed_files
 from spanforge.operators.store import SnapshotStore, upserted
 from spanforge.sources import config, git
@@ -58,20 +60,59 @@ class Index:
             self.store.write(upserted(self.rows(), fresh, touched))
             self.store.vacuum()
         n = self.indexed().agg(F.count("*").alias("f"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("c")).first()
-        config.write_marker(self.root, git.resolve(self.root, "HEAD") if not staged else "staged", n["f"], n["c"])
+        # for people only; a staged run records the parent, and nothing before the first commit
+        try:
+            commit = git.resolve(self.root, "HEAD")
+        except Exception:
+            if not staged:
+                raise
+            commit = ""
+        config.write_marker(self.root, commit, n["f"], n["c"])
         return {"files": n["f"], "chunks": n["c"]}
 
     def search(self, query: str, k: int = search.DEFAULT_K) -> list[dict]:
+        if not query.strip():
+            raise ValueError("an empty query")
         hits = search.top_k(self.rows().where("ord is not null"), self.model.embed_query(query), k)
-        texts = git.with_contents(hits, self.root)
-        piece = F.decode(F.substring("content", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), "UTF-8")
-        return [r.asDict() for r in texts.select("path", "ord", "start", "score", piece.alias("text")).orderBy(F.desc_nulls_last("score"), "path", "ord").collect()]
-
-    def health(self) -> list[tuple[str, str]]:
-        marker = config.read_marker(self.root)
+        kept = hits.select("path", "blob_sha", "ord", "start", "end", "score").collect()  # k rows
+        scores = {(r["path"], r["ord"]): r["score"] for r in kept}
+        if not kept:
+            return []
+        found = self.spark.createDataFrame(kept, "path string, blob_sha string, ord long, start long, end long, score double")
+        per_file = found.groupBy("path", "blob_sha").agg(F.collect_list(F.struct("ord", "start", "end")).alias("spans"))
+        p = F.col("path")
+        texts = reconstruct(git.with_contents(per_file, self.root).select("path", "content", routing.grammar(p).alias("grammar"), routing.comment_mark(p).alias("comment"), "spans"))
+        rows = [{**r.asDict(), "score": scores[r["path"], r["ord"]]} for r in texts.collect()]
+        return sorted(rows, key=lambda r: (r["score"] is None, -(r["score"] or 0.0), r["path"], r["ord"]))
+
+    def health(self) -> dict:
+        """Issues (path, message) and what they were found by."""
+        marker, tree, indexed = config.read_marker(self.root), self.tree().cache(), self.indexed().cache()
+        n = indexed.agg(F.count("*").alias("f"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("c")).first()
+        out = {"head": git.resolve(self.root, "HEAD"), "commit": marker and marker.get("commit", ""), "expected_files": tree.count(), "indexed_files": n["f"], "indexed_chunks": n["c"]}
         if marker is None:
-            return [("", "no state marker")]
-        return [(r["path"], r["msg"]) for r in diff.health_issues(self.tree(), self.indexed(), marker["file_count"], marker["chunk_count"]).collect()]
+            out["issues"] = [("", "no state marker")]
+        else:
+            out["issues"] = [(r["path"], r["msg"]) for r in diff.health_issues(tree, indexed, marker["file_count"], marker["chunk_count"]).collect()]
+        tree.unpersist()
+        indexed.unpersist()
+        return out
+
+
+def heading(crumb: str, line: int) -> str:
+    """``## file:L<line>`` and the rest of a breadcrumb."""
+    file, *rest = crumb.split(" > ", 1)
+    return " > ".join([f"## {file}:L{line}", *rest])
+
+
+def rendered(hits: list[dict]) -> str:
+    """Hits as sections, best first."""
+    return "\n---\n\n".join(f"{heading(h['heading'], h['start_line'])}\n\n{h['text']}\n" for h in hits) or "No results found.\n"
+
+
+def kilo(tokens: int) -> str:
+    """Thousands of tokens, in three figures."""
+    return f"{tokens / 1000:.3g} kTok"
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, cwd: str = ".") -> int:
@@ -94,18 +135,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, cwd:
         done = index.reindex(a.staged, a.max_reindex_cost)
         print(f"{done['files']} files, {done['chunks']} chunks")
     elif a.command == "estimate":
-        for label, full in (("next", False), ("full", True)):
+        print(f"Estimated costs:\n- embedding: ${price_per_token(index.model.name) * 1e6:.3g}/1M tok")
+        for label, full in (("next reindex", False), ("full reindex", True)):
             row = diff.estimate(index.plan(full=full)[0], index.model.name).first()
-            print(f"{label}: {row['files']} files, {row['embed_tokens']} tokens, ${row['dollars']:.3g}")
+            print(f"- {label}: {row['files']} files, {row['chunks']} chunks, {kilo(row['embed_tokens'])}, ${row['dollars']:.3g}")
     elif a.command == "search":
-        hits = index.search(" ".join(a.query).strip(), a.k)
-        print("\n\n---\n\n".join(f"## {h['path']}:L0\n\n{h['text']}" for h in hits) or "No results found.")
+        query = " ".join(a.query).strip()
+        if not query:
+            p.error("search needs a query")
+        print(rendered(index.search(query, a.k)), end="")
     elif a.command == "stats":
         print(config.read_marker(index.root) or "no state marker")
     elif a.command == "healthcheck":
-        issues = index.health()
-        print("\n".join(f"{path}: {msg}" for path, msg in issues) or "healthy")
-        return int(bool(issues))
+        h = index.health()
+        print(f"HEAD:           {h['head']}\nstate:          {'missing' if h['commit'] is None else h['commit']}\nexpected files: {h['expected_files']}\nindexed files:  {h['indexed_files']}\nindexed chunks: {h['indexed_chunks']}\n")
+        print("\n".join([f"{len(h['issues'])} issue(s):", *(f"  - {path}: {msg}" if path else f"  - {msg}" for path, msg in h["issues"])]) if h["issues"] else "healthy: the index and the state marker match the tree")
+        return int(bool(h["issues"]))
     return 0
 
 

@@ -13,23 +13,77 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions.structure import line_pieces, soft_pieces
-from spanforge.functions.text import trimmed
+from spanforge.functions.structure import Crumbs, Headings, line_pieces, meta_block, paragraph_chunks, reconstructed, soft_pieces
 
 
-def paragraphs_as_chunks(docs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """(key, ord, text, start, end): parts between empty lines, trimmed, with byte spans.
+_TEXT_SPAN, _TEXT_SPAN_KINDS = "ord long, text string, start long, end long", [pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
-    Parts are verbatim, so the forward cursor of span recovery is the running length.
+
+def paragraphs_as_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(…, ord, text, start, end): parts between empty lines, trimmed, with byte spans."""
+    return per_text(docs, paragraph_chunks, _TEXT_SPAN, _TEXT_SPAN_KINDS, text)
+
+
+def headed_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The same with the heading path in effect at each chunk."""
+
+    def run(data: bytes) -> list[tuple]:
+        headings = Headings(data)
+        return [(*c, headings.at(c[2])) for c in paragraph_chunks(data)]
+
+    return per_text(docs, run, _TEXT_SPAN + ", heading string", [*_TEXT_SPAN_KINDS, pa.string()], text)
+
+
+def reconstruct(files: DataFrame) -> DataFrame:
+    """(path, ord, text, heading, start_line, start_col, end_line, end_col, contextualized).
+
+    ``files`` has path, content, grammar and comment (see ``routing``) and spans, an
+    array of (ord, start, end); one row per file, whose structure is read once. A span
+    outside its content raises an error.
     """
-    split = docs.select(key, F.posexplode(F.split(F.col(text), "\n\n", -1)).alias("part", "raw"))
-    w = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    body = trimmed(F.col("raw"))
-    lead = F.octet_length("raw") - F.octet_length(F.regexp_replace("raw", r"^[ \t\n\r\x0b\f]+", ""))
-    at = F.coalesce(F.sum(F.octet_length("raw") + 2).over(w), F.lit(0)) + lead
-    spans = split.select(key, "part", body.alias("text"), at.cast("long").alias("start")).where("text <> ''")
-    order = Window.partitionBy(key).orderBy("part")
-    return spans.select(key, (F.row_number().over(order) - 1).cast("long").alias("ord"), "text", "start", (F.col("start") + F.octet_length("text")).alias("end"))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, data, grammar, mark, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                spans = spans or []
+                made = reconstructed(data or b"", path or "", grammar or "", mark or "", [(x["start"], x["end"]) for x in spans])
+                rows += [(path, x["ord"], *m) for x, m in zip(spans, made, strict=True)]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.string()]
+            names = ["path", "ord", "text", "heading", "start_line", "start_col", "end_line", "end_col", "contextualized"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(9)], names)
+
+    asked = files.select("path", F.col("content").cast("binary"), "grammar", "comment", F.col("spans").cast("array<struct<ord: bigint, start: bigint, end: bigint>>"))
+    return asked.mapInArrow(run, "path string, ord long, text string, heading string, start_line long, start_col long, end_line long, end_col long, contextualized string")
+
+
+def window_prefixes(files: DataFrame, layout: Callable[[int], list[tuple[int, int]]], head: int) -> DataFrame:
+    """(path, window_no, prefix): what precedes the body of each window of a file.
+
+    ``files`` has path, content, grammar and comment; ``layout`` gives the windows of a
+    content of so many bytes.
+    """
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, data, grammar, mark in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                crumbs, first = Crumbs(data or b"", path, grammar), head_bytes(data or b"", head)
+                rows += [(path, i, window_prefix(first, crumbs.at(start), mark) if start else b"") for i, (start, _) in enumerate(layout(len(data or b"")))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.binary()))], ["path", "window_no", "prefix"])
+
+    return files.select("path", F.col("content").cast("binary"), "grammar", "comment").mapInArrow(run, "path string, window_no long, prefix binary")
+
+
+def head_bytes(data: bytes, size: int) -> bytes:
+    """The first bytes up to and with the last newline; all of them without one."""
+    head = data[:size]
+    return head[: head.rfind(b"\n") + 1] or head
+
+
+def window_prefix(head: bytes, crumb: str, mark: str) -> bytes:
+    """Head section and, if there is one, the breadcrumb of a later window's body."""
+    return head + (b"\n" + meta_block(mark, crumb).encode() if crumb else b"") + b"\n\n"
 
 
 def byte_vectors(df: DataFrame, text: str, dims: int, name: str = "v") -> DataFrame:
@@ -151,49 +205,18 @@ def uncovered(spans: DataFrame, key: str, order: list[str]) -> DataFrame:
     return spans.groupBy(key).applyInArrow(fold, spans.schema)
 
 
-def markdown_lines(docs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """(key, line_no, line, start, level, title, block): headings outside fences open blocks."""
-    lines = docs.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("i", "line"))
-    w = Window.partitionBy(key).orderBy("i")
-    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    fences = F.sum(F.when(F.col("line").startswith("```"), 1).otherwise(0)).over(upto)
-    opened = lines.select(key, "i", "line", F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)).cast("long").alias("start"), (fences % 2).alias("inside"))
-    is_heading = F.col("line").rlike("^#{1,6} ") & (F.col("inside") == 0) & ~F.col("line").startswith("```")
-    level = F.when(is_heading, F.length(F.regexp_extract("line", "^(#{1,6}) ", 1))).otherwise(0)
-    titled = opened.withColumn("level", level).withColumn("title", F.when(F.col("level") > 0, trimmed(F.expr("substring(line, level + 2)"))).otherwise(""))
-    for k in range(1, 7):
-        # the last title of level k, unless a higher heading came after it
-        at_k = F.max(F.when(F.col("level") == k, F.struct("i", "title"))).over(upto)
-        above = F.max(F.when((F.col("level") > 0) & (F.col("level") < k), F.col("i"))).over(upto)
-        titled = titled.withColumn(f"h{k}", at_k).withColumn(f"u{k}", above)
-        titled = titled.withColumn(f"h{k}", F.when(F.col(f"u{k}").isNull() | (F.col(f"u{k}") < F.col(f"h{k}.i")), F.col(f"h{k}.title"))).drop(f"u{k}")
-    crumb, open_ = F.lit(""), F.lit(True)
-    for k in range(1, 7):
-        open_ = open_ & (F.coalesce(F.col(f"h{k}"), F.lit("")) != "")
-        crumb = F.when(open_, F.concat(crumb, F.lit((" > " if k > 1 else "") + "#" * k + " "), F.col(f"h{k}"))).otherwise(crumb)
-    block = F.sum(F.when(F.col("level") > 0, 1).otherwise(0)).over(upto)
-    return titled.select(key, (F.col("i") + 1).cast("long").alias("line_no"), "line", "start", F.col("level").cast("long").alias("level"), crumb.alias("heading"), block.cast("long").alias("block"))
-
-
-def markdown_blocks(lines: DataFrame, key: str = "path") -> DataFrame:
-    """(key, block, heading, first_line, n_lines, n_bytes) of the blocks that headings open."""
-    return lines.groupBy(key, "block").agg(
-        F.max_by("heading", "line_no").alias("heading"), F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"), (F.sum(F.octet_length("line") + 1) - 1).alias("n_bytes")
-    )
+def markdown_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(…, line_no, line, start, level, heading, block): headings outside fences open blocks."""
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+    return per_text(docs, lambda data: Headings(data).rows(), "line_no long, line string, start long, level long, heading string, block long", kinds, text)
 
 
-def markdown_paragraphs(lines: DataFrame, key: str = "path") -> DataFrame:
-    """(key, first_line, last_line) of runs of lines that are not blank."""
-    solid = lines.where(trimmed(F.col("line")) != "")
-    w = Window.partitionBy(key).orderBy("line_no")
-    runs = solid.select(key, "line_no", (F.col("line_no") - F.row_number().over(w)).alias("run"))
-    return runs.groupBy(key, "run").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")).drop("run")
+def markdown_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(…, block, heading, first_line, n_lines, n_bytes) of the blocks that headings open."""
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    return per_text(docs, lambda data: Headings(data).blocks(), "block long, heading string, first_line long, n_lines long, n_bytes long", kinds, text)
 
 
-def located(spans: DataFrame, lines: DataFrame, key: str = "path") -> DataFrame:
-    """Spans with the heading of the line that their first byte lies on."""
-    starts = lines.select(key, F.col("start").alias("at"), "heading", F.lit(None).cast("long").alias("ord"))
-    asked = spans.select(key, F.col("start").alias("at"), F.lit(None).cast("string").alias("heading"), "ord")
-    w = Window.partitionBy(key).orderBy("at", F.col("ord").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = starts.unionByName(asked).select(key, "ord", F.last("heading", ignorenulls=True).over(w).alias("heading")).where("ord is not null")
-    return spans.join(seen, [key, "ord"])
+def markdown_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(…, first_line, last_line) of runs of lines that are not blank."""
+    return per_text(docs, lambda data: Headings(data).paragraphs(), "first_line long, last_line long", [pa.int64()] * 2, text)

@@ -7,11 +7,16 @@ import os
 import urllib.error
 import urllib.request
 from collections.abc import Callable
+from functools import cache
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spanforge.functions import routing
+from spanforge.functions.structure import Crumbs
+from spanforge.operators.documents import head_bytes, window_prefix
+
 BATCH_BYTES = 90_000
 #: Beginning of the names of models that take whole documents.
 CONTEXTUAL = "voyage-context"
@@ -132,22 +137,20 @@ def _layout(n: int) -> list[tuple[int, int]]:
         at += LARGEST - RESERVE - OVERLAP
 
 
-def prepare(data: bytes, model: Model, crumb: Callable[[int], str], path: str = "") -> list[tuple[int, int, list[float]]]:
+def prepare(data: bytes, model: Model, crumb: Callable[[int], str], path: str = "", mark: str = "") -> list[tuple[int, int, list[float]]]:
     """(start, end, vector) of a document's chunks, each byte-equal to its span.
 
     A window too long for the model is split with overlap; chunks that touch the
     prefix or lie in ranges already covered are dropped; a chunk that cannot be found
     in its window is an error, as its span would be a guess.
     """
-    head = data[:HEAD]
-    head = head[: head.rfind(b"\n") + 1] or head
+    head = head_bytes(data, HEAD)
     todo, covered, out = _layout(len(data)), [], []
     while todo:
         start, end = todo.pop(0)
         prefix = b""
         if start:
-            c = crumb(start).encode()
-            prefix = head + (b"\n<context>\n" + c + b"\n</context>" if c else b"") + b"\n\n"
+            prefix = window_prefix(head, crumb(start), mark)
             if len(prefix) > RESERVE:
                 raise ValueError(f"{path}: prefix of {len(prefix)} bytes")
         window = prefix + data[start:end]
@@ -191,23 +194,17 @@ def embed_files(files: DataFrame, model: Model) -> DataFrame:
     Calls may cost money: write the result before using it twice. A file without
     chunks gives one row with a null ord, so that it counts as indexed.
     """
-    from spanforge.functions.structure import markdown_blocks
-
-    def crumb_of(data: bytes) -> Callable[[int], str]:
-        def at(offset: int) -> str:
-            blocks = markdown_blocks(data[: offset + 1].decode("utf-8", "ignore"))
-            return blocks[-1][0] if blocks else ""
-
-        return at
-
     def run(batches):
         for b in batches:
             rows = []
-            for path, sha, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                spans = prepare(data or b"", model, crumb_of(data or b""), path)
+            for path, sha, data, grammar, mark in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                # the structure of a file is read once, and only if it has a second window
+                crumbs = cache(lambda data=data, path=path, grammar=grammar: Crumbs(data or b"", path, grammar))
+                spans = prepare(data or b"", model, lambda at, crumbs=crumbs: crumbs().at(at), path, mark)
                 rows += [(path, sha, model.name, 10, i, s, e, v) for i, (s, e, v) in enumerate(spans)] or [(path, sha, model.name, 10, None, None, None, None)]
             kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float32())]
             names = ["path", "blob_sha", "model", "version", "ord", "start", "end", "embedding"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(8)], names)
 
-    return files.select("path", "blob_sha", files["content"].cast("binary").alias("content")).mapInArrow(run, "path string, blob_sha string, model string, version long, ord long, start long, end long, embedding array<float>")
+    asked = files.select("path", "blob_sha", files["content"].cast("binary").alias("content"), routing.grammar(files["path"]).alias("grammar"), routing.comment_mark(files["path"]).alias("comment"))
+    return asked.mapInArrow(run, "path string, blob_sha string, model string, version long, ord long, start long, end long, embedding array<float>")

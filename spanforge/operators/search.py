@@ -31,6 +31,19 @@ def merge_models(parts: list[DataFrame], k: int, ties: tuple[str, ...]) -> DataF
     return out.limit(k) if k > 0 else out
 
 
+def matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Rows of equal width as doubles; a null vector is one of zeros."""
+    flat, sizes = vectors.flatten().to_numpy(zero_copy_only=False).astype(float), np.diff(vectors.offsets.to_numpy())
+    width = int(sizes.max(initial=0))
+    if (sizes == width).all() and not vectors.null_count:
+        return flat.reshape(len(sizes), width)
+    if set(np.unique(sizes[vectors.is_valid().to_numpy(zero_copy_only=False)])) - {width}:
+        raise ValueError("vectors of different widths")
+    out = np.zeros((len(sizes), width))
+    out[vectors.is_valid().to_numpy(zero_copy_only=False)] = flat.reshape(-1, width)
+    return out
+
+
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", column: str = "embedding", most_queries: int = 10_000) -> DataFrame:
     """(query_id, id, score) of the k nearest for every query, in blocks of queries.
 
@@ -48,19 +61,22 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
 
         def run(batches):
             qid, unit = shared.value
-            best_s, best_i = np.full((len(qid), 0), -np.inf), np.zeros((len(qid), 0), np.int64)
+            best_s, best_i = [np.zeros(0)] * len(qid), [np.zeros(0, np.int64)] * len(qid)
             for b in batches:
                 if not b.num_rows:
                     continue
-                v = np.array(b.column(1).to_pylist(), float)
+                v, ids = matrix(b.column(1)), b.column(0).to_numpy()
                 n = np.linalg.norm(v, axis=1)
                 s = np.round(unit @ (v / np.where(n > 0, n, np.nan)[:, None]).T, 9)
-                s = np.concatenate((best_s, np.where(np.isnan(s), -np.inf, s)), 1)
-                i = np.concatenate((best_i, np.repeat(b.column(0).to_numpy()[None, :], len(qid), 0)), 1)
-                keep = np.stack([np.lexsort((i[r], -s[r]))[:k] for r in range(len(qid))])
-                best_s, best_i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-            w = best_s.shape[1]
-            cols = [pa.array(np.repeat(qid, w)), pa.array(best_i.ravel()), pa.array(best_s.ravel())]
+                s = np.where(np.isnan(s), -np.inf, s)
+                least = np.partition(s, max(s.shape[1] - k, 0), axis=1)[:, max(s.shape[1] - k, 0)]
+                for r in range(len(qid)):
+                    # what reaches the batch's k-th best score, ties by id
+                    at = np.flatnonzero(s[r] >= least[r])
+                    both_s, both_i = np.concatenate((best_s[r], s[r, at])), np.concatenate((best_i[r], ids[at]))
+                    keep = np.lexsort((both_i, -both_s))[:k]
+                    best_s[r], best_i[r] = both_s[keep], both_i[keep]
+            cols = [pa.array(np.repeat(qid, [len(x) for x in best_s])), pa.array(np.concatenate([np.zeros(0, np.int64), *best_i])), pa.array(np.concatenate([np.zeros(0), *best_s]))]
             yield pa.RecordBatch.from_arrays(cols, ["query_id", "id", "score"])
 
         return vectors.select(F.col(id_col).cast("long"), column).mapInArrow(run, "query_id long, id long, score double")

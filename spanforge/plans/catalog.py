@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions import routing, structure, text
 from spanforge.operators import diff, documents, search, store
-from spanforge.plans.inputs import CHUNKS, FILES, HEADED, INDEXED, MD, SHA, TREE, files, indexed, md_docs, read, tree
+from spanforge.plans.inputs import CHUNKS, FILES, HEADED, INDEXED, MD, MD_HARD, SHA, TREE, files, indexed, md_docs, md_hard, read, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,8 +118,8 @@ _BYTES = "b AS (SELECT {k}, unnest(range(strlen(text))) AS i, hex(encode(text))
 
 @query(f"WITH {_BYTES.format(k='doc_id', t='documents')} SELECT doc_id, slot, v FROM m")
 def mock_isolated_vector(spark, d):
-    v = documents.byte_vectors(read(spark, d, "documents").select("doc_id", "text"), "text", DIMS)
-    return v.select("doc_id", F.posexplode("v").alias("slot", "v")).join(read(spark, d, "documents").select("doc_id", F.octet_length("text").alias("n")), "doc_id").where("slot < n").select("doc_id", F.col("slot").cast("long").alias("slot"), "v")
+    v = documents.byte_vectors(read(spark, d, "documents").select("doc_id", "text", F.octet_length("text").alias("n")), "text", DIMS)
+    return v.select("doc_id", "n", F.posexplode("v").alias("slot", "v")).where("slot < n").select("doc_id", F.col("slot").cast("long").alias("slot"), "v")
 
 
 @query(f'WITH {CHUNKS} SELECT path, ord, "start", "end" FROM ch')
@@ -128,10 +129,16 @@ def auto_chunk_spans(spark, d):
 
 def _contextual(spark: SparkSession, d: str) -> DataFrame:
     """(path, ord, text, start, end, embedding): chunk bytes and document bytes, summed."""
-    md = md_docs(spark, d)
-    whole = documents.byte_vectors(md, "text", DIMS, "w").select("path", "w")
-    chunks = documents.byte_vectors(documents.paragraphs_as_chunks(md), "text", DIMS)
-    return chunks.join(whole, "path").select("path", "ord", "text", "start", "end", F.zip_with("v", "w", lambda a, b: a + b).alias("embedding"))
+
+    def sums(data: bytes) -> np.ndarray:
+        return np.bincount(np.arange(len(data)) % DIMS, np.frombuffer(data, np.uint8), DIMS).astype(np.int64)
+
+    def run(data: bytes) -> list[tuple]:
+        whole = sums(data)
+        return [(*c, whole + sums(c[1])) for c in structure.paragraph_chunks(data)]
+
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    return documents.per_text(md_docs(spark, d), run, "ord long, text string, start long, end long, embedding array<bigint>", kinds, "text")
 
 
 _CONTEXT = f"""{CHUNKS}, wb AS (SELECT path, unnest(range(strlen(text))) AS i, hex(encode(text)) AS h FROM md), wv AS (SELECT path, i % 8 AS slot, sum(('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT) AS v FROM wb GROUP BY ALL),
@@ -203,30 +210,41 @@ def covered_range_merge(spark, d):
     return documents.merged_ranges(_gappy(spark, d), "doc_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_WIN}, {_GAPS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "end", "start") AS i FROM g),
+r AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, []::STRUCT(a BIGINT, b BIGINT)[] AS held, false AS keep, 0::BIGINT AS "start", 0::BIGINT AS "end" FROM o
+UNION ALL SELECT o.doc_id, o.i, CASE WHEN len([h FOR h IN r.held IF h.a <= o."start" AND o."end" <= h.b]) > 0 THEN r.held ELSE list_append([h FOR h IN r.held IF h.b < o."start" OR o."end" < h.a],
+{{'a': least(o."start", coalesce(list_min([h.a FOR h IN r.held IF NOT (h.b < o."start" OR o."end" < h.a)]), o."start")), 'b': greatest(o."end", coalesce(list_max([h.b FOR h IN r.held IF NOT (h.b < o."start" OR o."end" < h.a)]), o."end"))}}) END,
+len([h FOR h IN r.held IF h.a <= o."start" AND o."end" <= h.b]) = 0, o."start", o."end" FROM r JOIN o ON o.doc_id = r.doc_id AND o.i = r.i + 1)
+SELECT doc_id, "start", "end" FROM r WHERE keep""")
 def covered_range_dedup(spark, d):
     return documents.uncovered(_gappy(spark, d), "doc_id", ["end", "start"])
 
 
-@query(f"""WITH {MD}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM md),
-t AS (SELECT path, max(CASE WHEN line_no = 1 THEN substr(line, 3) END) AS a, max(CASE WHEN line_no = 3 THEN substr(line, 4) END) AS b FROM l GROUP BY path)
-SELECT l.path, line_no, '# ' || a || CASE WHEN line_no >= 3 THEN ' > ## ' || b ELSE '' END AS heading FROM l JOIN t ON t.path = l.path""")
+@query(f"""WITH {MD_HARD}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM mdh),
+f AS (SELECT *, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY i ROWS UNBOUNDED PRECEDING) % 2 AS inside FROM l),
+v AS (SELECT *, CASE WHEN inside = 0 AND regexp_matches(line, '^#{{1,6}} ') THEN len(regexp_extract(line, '^(#+) ', 1)) ELSE 0 END AS lv FROM f),
+t AS (SELECT *, CASE WHEN lv > 0 THEN trim(substr(line, lv + 2)) END AS title FROM v),
+h AS (SELECT path, i, {", ".join(f"max(CASE WHEN lv = {k} THEN {{{{'i': i, 'title': title}}}} END) OVER w AS h{k}, max(CASE WHEN lv > 0 AND lv < {k} THEN i END) OVER w AS u{k}" for k in range(1, 7)).replace("{{", "{").replace("}}", "}")} FROM t WINDOW w AS (PARTITION BY path ORDER BY i ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT path, i, [{", ".join(f"CASE WHEN h{k} IS NULL OR coalesce(u{k}, 0) > h{k}.i THEN '' ELSE h{k}.title END" for k in range(1, 7))}] AS ts FROM h),
+c AS (SELECT path, i, ts, coalesce(list_min([k FOR k IN range(1, 7) IF ts[k] = '']), 7) AS stop FROM g)
+SELECT path, i AS line_no, array_to_string([repeat('#', k::INT) || ' ' || ts[k] FOR k IN range(1, stop)], ' > ') AS heading FROM c""")
 def md_heading_breadcrumb(spark, d):
-    return documents.markdown_lines(md_docs(spark, d)).select("path", "line_no", "heading")
+    """Heading paths over fences, skipped levels and headings without a title."""
+    return documents.markdown_lines(md_hard(spark, d)).select("path", "line_no", "heading")
 
 
 @query(f"""WITH {MD}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM md),
 k AS (SELECT path, line, line_no, sum(CASE WHEN regexp_matches(line, '^#{{1,6}} ') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING)::BIGINT AS block FROM l)
 SELECT path, block, min(line_no) AS first_line, count(*) AS n_lines, (sum(strlen(line) + 1) - 1)::BIGINT AS n_bytes FROM k GROUP BY path, block""")
 def md_hard_blocks(spark, d):
-    return documents.markdown_blocks(documents.markdown_lines(md_docs(spark, d))).drop("heading")
+    return documents.markdown_blocks(md_docs(spark, d)).drop("heading")
 
 
 @query(f"""WITH {MD}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM md),
 s AS (SELECT path, line_no, line_no - row_number() OVER (PARTITION BY path ORDER BY line_no) AS run FROM l WHERE regexp_matches(line, '[^ \\t\\n\\r\\x0b\\f]'))
 SELECT path, min(line_no) AS first_line, max(line_no) AS last_line FROM s GROUP BY path, run""")
 def md_paragraphs(spark, d):
-    return documents.markdown_paragraphs(documents.markdown_lines(md_docs(spark, d)))
+    return documents.markdown_paragraphs(md_docs(spark, d))
 
 
 @query("""WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), s AS (SELECT doc_id, h, unnest(range(0, len(h) // 2, 1800)) AS s FROM h)
@@ -248,15 +266,62 @@ def line_col_from_offset(spark, d):
 @query(f"WITH {CHUNKS} SELECT path, ord, text FROM ch")
 def slice_reconstruct(spark, d):
     """Texts cut anew from the documents' bytes by their spans."""
-    md = md_docs(spark, d)
-    spans = documents.paragraphs_as_chunks(md).select("path", "ord", "start", "end")
-    piece = F.substring(F.col("text").cast("binary"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
-    return md.join(spans, "path").select("path", "ord", F.decode(piece, "UTF-8").alias("text"))
+    return _reconstructed(spark, d).select("path", "ord", "text")
+
+
+def _reconstructed(spark, d):
+    """All chunks of the markdown documents, from spans and contents alone."""
+    spans = documents.per_text(md_docs(spark, d).withColumn("content", F.col("text")), lambda data: [([{"ord": o, "start": a, "end": b} for o, _, a, b in structure.paragraph_chunks(data)],)], "spans array<struct<ord:bigint,start:bigint,end:bigint>>", [pa.list_(pa.struct([("ord", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))], "text")
+    return documents.reconstruct(spans.select("path", "content", routing.grammar(F.col("path")).alias("grammar"), routing.comment_mark(F.col("path")).alias("comment"), "spans"))
+
+
+@query(f"WITH {CHUNKS}, {HEADED} SELECT path, ord, text, path || ' > ' || heading AS heading, 0::BIGINT AS start_line, 0::BIGINT AS start_col, 0::BIGINT AS end_line, 0::BIGINT AS end_col, '<context>' || chr(10) || path || ' > ' || heading || chr(10) || '</context>' || chr(10) || chr(10) || text AS contextualized FROM hd")
+def reconstruct_rows(spark, d):
+    """Rows of an index of prose, rehydrated."""
+    return _reconstructed(spark, d)
+
+
+_CODE_ROWS = """src AS (SELECT 'src/' || doc_id || '.go' AS path, 'package p' || chr(10) || chr(10) || '// Doc ' || doc_id || chr(10) || 'func Outer() {' || chr(10) || chr(9) || 'f := `' || chr(10) || 'func No() {}' || chr(10) || '`' || chr(10) || chr(9) || 'g("' || regexp_replace(text, '[^A-Za-zà-ÿ ]', '', 'g') || '")' || chr(10) || '}' || chr(10) || chr(10) || 'type T struct {' || chr(10) || chr(9) || 'x int' || chr(10) || '}' || chr(10) AS t FROM documents),
+pos AS (SELECT path, t, strlen(split_part(t, chr(9) || 'g(', 1)) + 1 AS g, strlen(split_part(t, 'type T', 1)) AS ty, strlen(t) AS n FROM src),
+sp AS (SELECT path, t, 0 AS ord, 0 AS a, 9 AS b, path AS heading FROM pos UNION ALL SELECT path, t, 1, g, ty - 3, path || ' > function Outer' FROM pos UNION ALL SELECT path, t, 2, ty + 5, n - 1, path || ' > type T' FROM pos)"""
+
+
+@query(f"""WITH {_CODE_ROWS}, h AS (SELECT *, hex(encode(t)) AS h FROM sp),
+x AS (SELECT path, ord, heading, a, b, decode(unhex(substr(h, 2 * a + 1, 2 * (b - a)))) AS text, [i FOR i IN range(a) IF substr(h, 2 * i + 1, 2) = '0A'] AS na, [i FOR i IN range(b) IF substr(h, 2 * i + 1, 2) = '0A'] AS nb FROM h)
+SELECT path, ord::BIGINT AS ord, text, heading, (len(na) + 1)::BIGINT AS start_line, (a - coalesce(list_max(na), -1))::BIGINT AS start_col, (len(nb) + 1)::BIGINT AS end_line, (b - coalesce(list_max(nb), -1))::BIGINT AS end_col, '// ' || heading || chr(10) || chr(10) || text AS contextualized FROM x""")
+def reconstruct_code_rows(spark, d):
+    """Rows of an index of code: definitions as breadcrumbs, lines and columns."""
+    t = F.concat(F.lit("package p\n\n// Doc "), F.col("doc_id").cast("string"), F.lit('\nfunc Outer() {\n\tf := `\nfunc No() {}\n`\n\tg("'), F.regexp_replace("text", "[^A-Za-zà-ÿ ]", ""), F.lit('")\n}\n\ntype T struct {\n\tx int\n}\n'))
+    src = read(spark, d, "documents").select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".go")).alias("path"), t.alias("content"))
+    g, ty, n = F.octet_length(F.substring_index("content", "\tg(", 1)) + 1, F.octet_length(F.substring_index("content", "type T", 1)), F.octet_length("content")
+    span = lambda o, a, b: F.struct(F.lit(o).cast("long").alias("ord"), a.cast("long").alias("start"), b.cast("long").alias("end"))
+    spans = F.array(span(0, F.lit(0), F.lit(9)), span(1, g, ty - 3), span(2, ty + 5, n - 1))
+    p = F.col("path")
+    return documents.reconstruct(src.select("path", "content", routing.grammar(p).alias("grammar"), routing.comment_mark(p).alias("comment"), spans.alias("spans")))
+
+
+def small_windows(n: int) -> list[tuple[int, int]]:
+    """Windows of 2000 bytes and bodies of 1800 that overlap by 200."""
+    out = [(0, min(n, 2000))]
+    while out[-1][1] < n:
+        start = 1800 + 1600 * (len(out) - 1)
+        out.append((start, min(n, start + 1800)))
+    return out
+
+
+@query(f"""WITH {MD}, n AS (SELECT path, text, strlen(text) AS n, hex(encode(text)) AS h, regexp_extract(text, '^# ([^\n]*)', 1) AS a, regexp_extract(text, '\n\n## ([^\n]*)', 1) AS b FROM md),
+w AS (SELECT *, unnest(CASE WHEN n <= 2000 THEN [0] ELSE [0] || [1800 + 1600 * i FOR i IN range(greatest(0, ceil((n - 3600) / 1600.0))::BIGINT + 1)] END) AS s FROM n),
+l AS (SELECT *, list_max([i FOR i IN range(least(n, 300)) IF substr(h, (2 * i + 1)::BIGINT, 2) = '0A']) AS last FROM w)
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY s) - 1 AS window_no, CASE WHEN s = 0 THEN '' ELSE decode(unhex(substr(h, 1, (2 * (last + 1))::BIGINT))) || chr(10) || '<context>' || chr(10) || path || ' > # ' || a || ' > ## ' || b || chr(10) || '</context>' || chr(10) || chr(10) END AS prefix FROM l""")
+def window_prefix_full(spark, d):
+    """Head section, path and headings before the later windows of a document."""
+    p = F.col("path")
+    files_ = md_docs(spark, d).select("path", F.col("text").alias("content"), routing.grammar(p).alias("grammar"), routing.comment_mark(p).alias("comment"))
+    return documents.window_prefixes(files_, small_windows, 300).withColumn("prefix", F.decode("prefix", "UTF-8"))
 
 
 def _headed(spark, d):
-    md = md_docs(spark, d)
-    return documents.located(documents.paragraphs_as_chunks(md), documents.markdown_lines(md))
+    return documents.headed_chunks(md_docs(spark, d))
 
 
 @query(f"WITH {CHUNKS}, {HEADED} SELECT path, ord, '<context>' || chr(10) || path || ' > ' || heading || chr(10) || '</context>' || chr(10) || chr(10) || text AS prose, '# ' || path || ' > ' || heading || chr(10) || chr(10) || text AS code FROM hd")
@@ -329,17 +394,53 @@ def format_tokens(spark, d):
     return read(spark, d, "documents").select("doc_id", n.alias("tokens"), F.round(text.significant(n.cast("double")), 6).alias("rounded"))
 
 
-@query()
+def _cut(longs: str, most: int, overlap: int = 200) -> str:
+    """SQL: (k, a, b) of the overlapping pieces, in whole characters, of (k, a, h): place and hex of long texts."""
+    step = most - overlap
+    inside = lambda p: f"(substr(h, (2 * ({p}) + 1)::BIGINT, 1) IN ('8', '9', 'A', 'B') AND {p} > 0 AND {p} < n)"
+    ahead = f"CASE WHEN NOT {inside('i')} THEN i WHEN NOT {inside('i + 1')} THEN i + 1 WHEN NOT {inside('i + 2')} THEN i + 2 ELSE i + 3 END"
+    back = f"CASE WHEN NOT {inside('e')} THEN e WHEN NOT {inside('e - 1')} THEN e - 1 WHEN NOT {inside('e - 2')} THEN e - 2 ELSE e - 3 END"
+    return (
+        f"(SELECT k, pos + low AS a, pos + high AS b FROM (SELECT k, pos, n, h, {ahead} AS low, {back} AS high FROM (SELECT k, pos, n, h, i, least(i + {most}, n) AS e FROM "
+        f"(SELECT k, a AS pos, h, len(h) // 2 AS n, unnest(range(0, len(h) // 2, {step})) AS i FROM {longs}) x1) x2) x3 WHERE low < high)"
+    )
+
+
+def _soft(source: str, most: int) -> str:
+    """SQL: CTEs up to ``soft`` (k, a, b), the soft pieces of (k, t)."""
+    return f"""sl AS (SELECT k, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM {source}),
+sa AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM sl),
+ss AS (SELECT *, i - row_number() OVER (PARTITION BY k ORDER BY i) AS run FROM sa WHERE regexp_matches(line, '[^ \\t\\n\\r\\x0b\\f]')),
+sp AS (SELECT k, min(pos) AS a, max(pos + strlen(line)) AS b FROM ss GROUP BY k, run),
+so AS (SELECT sp.*, b - a AS n, row_number() OVER (PARTITION BY k ORDER BY a) AS j, count(*) OVER (PARTITION BY k) AS last FROM sp JOIN {source} USING (k) WHERE strlen(t) > {most}),
+sr AS (SELECT DISTINCT k, 0::BIGINT AS j, NULL::BIGINT AS ha, NULL::BIGINT AS hb, 0::BIGINT AS size, NULL::BIGINT AS ea, NULL::BIGINT AS eb, false AS done FROM so
+UNION ALL SELECT so.k, so.j, CASE WHEN n > {most} THEN NULL WHEN ha IS NULL OR size + 2 + n > {most} THEN so.a ELSE ha END, CASE WHEN n > {most} THEN NULL ELSE so.b END,
+CASE WHEN n > {most} THEN 0 WHEN ha IS NULL OR size + 2 + n > {most} THEN n ELSE size + 2 + n END,
+CASE WHEN ha IS NOT NULL AND (n > {most} OR size + 2 + n > {most}) THEN ha END, CASE WHEN ha IS NOT NULL AND (n > {most} OR size + 2 + n > {most}) THEN hb END, so.j = so.last FROM sr JOIN so ON so.k = sr.k AND so.j = sr.j + 1),
+sg AS (SELECT so.k, so.a, substr(hex(encode(t)), (2 * so.a + 1)::BIGINT, (2 * n)::BIGINT) AS h FROM so JOIN {source} USING (k) WHERE n > {most}),
+soft AS (SELECT k, ea AS a, eb AS b FROM sr WHERE ea IS NOT NULL UNION ALL SELECT k, ha, hb FROM sr WHERE done AND ha IS NOT NULL UNION ALL SELECT k, 0, strlen(t) FROM {source} WHERE strlen(t) <= {most} UNION ALL SELECT * FROM {_cut('sg', most)})"""
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id AS k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, strlen(text) AS total FROM documents),
+p AS (SELECT *, strlen(line) AS n, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos, count(*) OVER (PARTITION BY k) AS last FROM l),
+r AS (SELECT DISTINCT k, 0::BIGINT AS i, NULL::BIGINT AS begin, NULL::BIGINT AS a, NULL::BIGINT AS b, 0::BIGINT AS total, false AS done FROM p
+UNION ALL SELECT p.k, p.i, CASE WHEN n > 800 THEN NULL WHEN begin IS NULL OR pos + n - begin > 800 THEN pos ELSE begin END, CASE WHEN begin IS NOT NULL AND (n > 800 OR pos + n - begin > 800) THEN begin END, CASE WHEN begin IS NOT NULL AND (n > 800 OR pos + n - begin > 800) THEN pos - 1 END, p.total, p.i = p.last FROM r JOIN p ON p.k = r.k AND p.i = r.i + 1),
+g AS (SELECT k, pos AS a, hex(encode(line)) AS h FROM p WHERE n > 800),
+o AS (SELECT k, a, b FROM r WHERE a IS NOT NULL UNION ALL SELECT k, begin, total FROM r WHERE done AND begin < total UNION ALL SELECT * FROM {_cut('g', 800)})
+SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY a, b) - 1 AS ord, a::BIGINT AS "start", b::BIGINT AS "end" FROM o""")
 def greedy_line_pack(spark, d):
     return documents.line_pack(read(spark, d, "documents").select("doc_id", F.col("text").alias("content")), 800)
 
 
-@query()
+@query(f"""WITH RECURSIVE {MD}, src AS (SELECT path AS k, text AS t FROM md), {_soft('src', 800)}
+SELECT k AS path, row_number() OVER (PARTITION BY k ORDER BY a, b) - 1 AS ord, a::BIGINT AS "start", b::BIGINT AS "end" FROM soft""")
 def md_soft_split(spark, d):
     return documents.soft_split(md_docs(spark, d).select("path", F.col("text").alias("content")), 800)
 
 
-@query()
+@query(f"""WITH RECURSIVE {MD}, src AS (SELECT path AS k, 'doc > # ' || regexp_extract(text, '^# ([^\\n]*)', 1) || ' > ## ' || regexp_extract(text, '\\n\\n## ([^\\n]*)', 1) AS crumb, substr(text, strpos(text, chr(10) || '## ') + 2 + len(regexp_extract(text, '\\n(## [^\\n]*)', 1))) AS t FROM md), {_soft('src', 2000)},
+c AS (SELECT k, crumb, a, b, regexp_replace(decode(unhex(substr(hex(encode(t)), (2 * a + 1)::BIGINT, (2 * (b - a))::BIGINT))), '^\\s+|\\s+$', '', 'g') AS chunk FROM soft JOIN src USING (k))
+SELECT k AS path, row_number() OVER (PARTITION BY k ORDER BY a, b) - 1 AS ord, crumb, chunk FROM c WHERE chunk <> ''""")
 def chunk_markdown(spark, d):
     """Both kinds of splits of markdown: by headings, then by paragraphs."""
     kinds = [pa.int64(), pa.string(), pa.string()]
@@ -347,19 +448,23 @@ def chunk_markdown(spark, d):
     return documents.per_text(md, lambda raw: [(i, c, t) for i, (c, t) in enumerate(structure.chunk_markdown(raw.decode("utf-8", "replace"), "doc"))], "ord long, crumb string, chunk string", kinds)
 
 
+_SOURCES = "src AS (SELECT doc_id, strlen(doc_id::VARCHAR) + 18 AS c, strlen(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g')) AS n FROM documents), spot AS (SELECT doc_id, c, n, c + 15 AS w, c + 49 + n AS e FROM src)"
+
+
 def _sources(spark: SparkSession, d: str) -> DataFrame:
     """A small Python module per document."""
     body = F.concat(F.lit("import os\n\n# doc "), F.col("doc_id").cast("string"), F.lit("\nclass Doc:\n    def words(self):\n        return '"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z ]", ""), F.lit("'\n\n\ndef main():\n    return Doc()\n"))
     return read(spark, d, "documents").select("doc_id", body.alias("content"))
 
 
-@query()
+@query(f"""WITH {_SOURCES} SELECT doc_id, c::BIGINT AS "start", e::BIGINT AS "end", 'class' AS label, 'Doc' AS name FROM spot UNION ALL SELECT doc_id, w, e, 'function', 'words' FROM spot UNION ALL SELECT doc_id, e + 3, e + 3 + 28, 'function', 'main' FROM spot""")
 def code_definitions(spark, d):
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
     return documents.per_text(_sources(spark, d), lambda raw: structure.definitions(raw.decode(), "python"), "start long, end long, label string, name string", kinds)
 
 
-@query()
+@query(f"""WITH {_SOURCES} SELECT doc_id, 'm.py' AS crumb, 0::BIGINT AS "start", 9::BIGINT AS "end" FROM spot UNION ALL SELECT doc_id, 'm.py > class Doc', 11, c + 10 FROM spot UNION ALL SELECT doc_id, 'm.py > function main', e + 3, e + 31 FROM spot
+UNION ALL SELECT doc_id, 'm.py > class Doc > function words', c + 11, CASE WHEN n + 38 > 200 THEN c + 31 ELSE e END FROM spot UNION ALL SELECT doc_id, 'm.py > class Doc > function words', c + 32, least(e, c + 232) FROM spot WHERE n + 38 > 200""")
 def chunk_code(spark, d):
     return documents.per_text(_sources(spark, d), lambda raw: structure.chunk_code(raw, "python", "m.py", 200), "crumb string, start long, end long", [pa.string(), pa.int64(), pa.int64()])
 

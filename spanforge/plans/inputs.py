@@ -19,6 +19,17 @@ def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MD = "md AS (SELECT 'docs/' || doc_id || '.md' AS path, '# ' || lang || chr(10) || chr(10) || '## doc ' || doc_id || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents)"
+
+
+def md_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): documents below headings of all levels, with fences, jumps and empty titles."""
+    d, n = read(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    level = F.repeat(F.lit("#"), (F.col("doc_id") % 6 + 1).cast("int"))
+    text = F.concat(F.lit("before\n# "), "lang", F.lit("\n### jump "), n, F.lit("\n```\n# no heading\n```sh\n## "), n, F.lit("\n"), level, F.lit(" level "), n, F.lit("\n```\n"), "text", F.lit("\n```\n#\n## \n### under nothing\n####### seven\n#none\n# last "), n, F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n## ")))
+    return d.select(F.concat(F.lit("hard/"), n, F.lit(".md")).alias("path"), text.alias("text"))
+
+
+MD_HARD = "mdh AS (SELECT 'hard/' || doc_id || '.md' AS path, 'before' || chr(10) || '# ' || lang || chr(10) || '### jump ' || doc_id || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '```sh' || chr(10) || '## ' || doc_id || chr(10) || repeat('#', (doc_id % 6 + 1)::INT) || ' level ' || doc_id || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || '#' || chr(10) || '## ' || chr(10) || '### under nothing' || chr(10) || '####### seven' || chr(10) || '#none' || chr(10) || '# last ' || doc_id || chr(10) || replace(text, chr(10), chr(10) || '## ') AS text FROM documents)"
 EXTENSIONS = (".md", ".go", ".py", ".txt", ".html", ".tsx", ".json")
 
 
