@@ -5,8 +5,10 @@ hashed; the most telling ones (chi-square on the labelled sample) enter logistic
 models, one per category in a fixed order. Each later model also reads the
 probabilities of the earlier ones, which in training are out-of-fold predictions.
 
-Categories: ``insult`` and ``contempt`` are weak labels (the row is labelled toxic
-and holds a seed word, given as a parameter), ``toxic`` is the table's label.
+Categories: the table labels ``toxic`` alone. Before it the chain predicts ``kinds`` kinds
+of toxic text that the labelled rows themselves show: kind k is a row labelled toxic
+that lies on the upper side of the k-th principal axis of the toxic rows' features. So
+no word list decides, and the kinds are named by their axis (``kind_1``, ...).
 
 Fitting uses at most about ``per_class`` labelled rows of each class, chosen by a
 hash of doc_id. Scoring is one pass over all rows and whole texts, without a shuffle.
@@ -14,7 +16,8 @@ hash of doc_id. Scoring is one pass over all rows and whole texts, without a shu
 Edge cases: null and empty texts have no features and get the chain's base rates;
 null labels are ignored; rows labelled twice count as toxic if any label says so;
 without both classes every probability is the share of toxic labels (0 if none);
-repeated rows are scored alike; an empty table gives no rows.
+repeated rows are scored alike; an empty table gives no rows; long texts are read
+whole; a probability equal to the threshold is toxic. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -32,8 +35,6 @@ from spanforge.llm.common import fit_logistic, hash_fraction_sample, sigmoid, sl
 BUCKETS = 1 << 18
 FOLDS = 5
 CACHE_WORDS = 1 << 20
-#: Seed words of the weak categories, fixed values.
-SEEDS = {"insult": ("idiot", "moron", "clown", "loser", "scum"), "contempt": ("trash", "pathetic", "disgusting", "worthless", "stupid")}
 #: ASCII capitals become small; other ASCII but letters and digits becomes a space.
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32) for c in range(256))
 
@@ -53,19 +54,24 @@ def word_features(word: bytes) -> list[int]:
     return [crc32(word) & (BUCKETS - 1)] + [crc32(word[:k], 1) & (BUCKETS - 1) for k in range(5, 9) if len(word) > k]
 
 
-def _features(seeds: dict[str, tuple[str, ...]]):
-    marks = [{w.encode() for w in s} for s in seeds.values()]
+def _features(batches):
+    for b in slices(batches):
+        ids = [np.unique([f for w in words_of(text) for f in word_features(w)]).astype("<u4").tobytes() for text in texts_of(b)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["doc_id", "label", "x"])
 
-    def run(batches):
-        for b in slices(batches):
-            ids, flags = [], []
-            for text in texts_of(b):
-                words = words_of(text)
-                ids.append(np.unique([f for w in words for f in word_features(w)]).astype("<u4").tobytes())
-                flags.append([bool(words & m) for m in marks])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(flags, pa.list_(pa.bool_())), pa.array(ids, pa.binary())], ["doc_id", "label", "flags", "x"])
 
-    return run
+def kinds_of(x: np.ndarray, label: np.ndarray, kinds: int) -> np.ndarray:
+    """One column per kind: toxic rows on the upper side of a principal axis of theirs."""
+    out, on = np.zeros((len(x), kinds)), np.flatnonzero(label == 1)
+    if not len(on) or not x.shape[1]:
+        return out
+    centred = (x[on] - x[on].mean(0)).astype(float)
+    # of rows, as they are bounded; the side of an axis on which its largest entry lies is the upper one
+    axes = np.linalg.eigh(centred @ centred.T)[1][:, ::-1][:, :kinds]
+    for k in range(axes.shape[1]):
+        side = axes[:, k] * np.sign(axes[np.argmax(np.abs(axes[:, k])), k])
+        out[on, k] = side > 1e-9
+    return out
 
 
 def _chain(x: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -82,8 +88,8 @@ def _chain(x: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray) -
     return tuple(models)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, features: int = 2000, seeds: dict[str, tuple[str, ...]] = SEEDS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ChainModel:
-    names = (*seeds, label_col)
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, features: int = 2000, kinds: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ChainModel:
+    names = (*(f"kind_{k + 1}" for k in range(kinds)), label_col)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     share = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(share) < 2:
@@ -92,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, features: int
     sample = hash_fraction_sample(known.where("label = 1"), F.col("doc_id"), per_class).union(hash_fraction_sample(known.where("label = 0"), F.col("doc_id"), 2 * per_class))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # bounded: at most about 3 * per_class pairs of an id and a label
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(_features(seeds), "doc_id long, label int, flags array<boolean>, x binary").collect()
+    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     if not rows:
         return ChainModel(names, np.zeros(0, np.int64), tuple(np.append(np.zeros(i), -30.0) for i in range(len(names))))
@@ -106,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, features: int
     chosen = np.sort(np.argsort(-np.abs(chi), kind="stable")[:features])
     chosen = chosen[chi[chosen] != 0]
     x = np.stack([np.isin(chosen, i) for i in ids]).astype(np.float32)
-    y = np.column_stack([[float(r["label"] and r["flags"][k]) for r in rows] for k in range(len(seeds))] + [label])
+    y = np.column_stack([kinds_of(x, label, kinds), label])
     weight = np.where(label == 1, share[1] / n1, share[0] / n0)
     fold = np.array([crc32(str(r["doc_id"]).encode()) // 4 % FOLDS for r in rows])
     return ChainModel(names, chosen, _chain(x, y, weight, fold))

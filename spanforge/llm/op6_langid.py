@@ -8,12 +8,15 @@ least. ``ambiguous`` marks rows whose two nearest codewords are close.
 Codewords: exhaustive codes up to six languages, above that ``15 * log2`` random
 bits, drawn with a fixed seed to keep codewords far apart.
 
-Fitting uses at most about ``per_lang`` rows per language, chosen by a hash of
+Fitting uses at most about ``per_lang`` rows per language and, where there are many
+languages, ``max_langs_rows`` rows in all (20 of each at least), chosen by a hash of
 doc_id. Scoring is one pass over all rows and whole texts, without a shuffle.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; null
 lang is not learned from; with no labelled row all are ``und``, with one language
-all rows with a letter get it; repeated rows agree; an empty table gives no rows.
+all rows with a letter get it; equally near codewords go to the first language by
+name; repeated rows agree; an empty table gives no rows; long texts are read whole.
+Only the named columns are read.
 """
 
 from __future__ import annotations

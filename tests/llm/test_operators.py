@@ -434,3 +434,11 @@ def test_license_scores_by_brute_force(spark):
 def test_equal_license_scores_go_to_the_first_name(spark):
     units = spark.createDataFrame([("1", "one two three")], "unit_id string, unit string")
     assert op3_license.classify(units, {"B": ["one two three"], "A": ["one two three"]}).first()["license"] == "A"
+
+
+def test_kinds_are_sides_of_the_axes_of_toxic_rows():
+    x = np.array([[1, 1, 0, 0], [1, 1, 0, 0], [1, 0, 0, 0], [0, 0, 1, 1], [0, 0, 1, 1], [0, 1, 1, 0], [1, 1, 1, 1]], np.float32)
+    label = np.array([1, 1, 1, 1, 1, 0, 0.0])
+    kinds = op4_toxicity.kinds_of(x, label, 2)
+    assert not kinds[label == 0].any() and set(kinds[:3, 0]) != set(kinds[3:5, 0]) and len(set(kinds[:3, 0])) == len(set(kinds[3:5, 0])) == 1
+    assert not op4_toxicity.kinds_of(x, 0 * label, 2).any() and op4_toxicity.kinds_of(x[:, :0], label, 1).shape == (7, 1)
