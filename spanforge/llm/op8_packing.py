@@ -44,7 +44,7 @@ SLACK = 3
 CACHE_BYTES, WORD_BYTES = 192 << 20, 180
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Bytes of text encoded at once.
-TEXT_BYTES = 1 << 21
+TEXT_BYTES = 1 << 20
 _loaded: dict[str, WordEncoder] = {}
 
 
@@ -179,10 +179,11 @@ def pieces(text: str, size: int = TEXT_BYTES) -> list[str]:
     return [*out, text[low:]]
 
 
-def encoder(path: str) -> WordEncoder:
-    """One per worker process and tokenizer."""
+def encoder(path: str, cache_bytes: int = CACHE_BYTES) -> WordEncoder:
+    """One per worker process and tokenizer, with the bound that is asked for last."""
     if path not in _loaded:
-        _loaded[path] = WordEncoder(path)
+        _loaded[path] = WordEncoder(path, cache_bytes)
+    _loaded[path].known.most = cache_bytes // 2
     return _loaded[path]
 
 
@@ -284,7 +285,7 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 7)], names)
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence."""
     path = tokenizer_path or default_tokenizer()
 
@@ -292,7 +293,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        packer, enc = _Packer(window, TaskContext.get().partitionId() << 40), encoder(path)
+        packer, enc = _Packer(window, TaskContext.get().partitionId() << 40), encoder(path, cache_bytes)
         last = np.array([end_id], "<u4").tobytes()
         for b in slices(batches, size=TEXT_BYTES):
             ids, texts = b.column(0).to_pylist(), [t.decode("utf-8", "replace") for t in texts_of(b)]
