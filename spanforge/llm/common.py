@@ -22,7 +22,22 @@ _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 
 
+#: Bytes of an Arrow batch on its way to Python; the setting, and its value by default.
+ARROW_BYTES, _ARROW_KEY, _ARROW_DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches in bytes, unless the session has its own bound.
+
+    By default a batch has 10000 rows or 64 MB; buffers of that size, doubled while they
+    grow, are held by every task of an executor and by its Python worker.
+    """
+    if spark.conf.get(_ARROW_KEY) in (f"{_ARROW_DEFAULT}b", str(_ARROW_DEFAULT)):
+        spark.conf.set(_ARROW_KEY, str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,6 +64,7 @@ def materialize(df: DataFrame, lasting: bool = False) -> DataFrame:
 
     ``sweep`` leaves what is ``lasting``.
     """
+    bound_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/spanforge/{uuid.uuid4().hex}"
     if not lasting:
         _written.append(path)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import slices, table, texts_of
+from spanforge.llm.common import bound_batches, slices, table, texts_of
 
 WINDOW = 2048
 BLOCK_WINDOWS = 16
@@ -287,6 +287,7 @@ class _Packer:
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence."""
+    bound_batches(docs.sparkSession)
     path = tokenizer_path or default_tokenizer()
 
     def run(batches):
