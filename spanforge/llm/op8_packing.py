@@ -54,36 +54,35 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Remembered(dict):
+class Remembered:
     """A mapping that forgets what was long not asked for, bounded in bytes.
 
-    New entries go to a young half; when that is full, it becomes the old one, which is
+    New entries go to the young half; when that is full, it becomes the old one, which is
     forgotten at the next such time but for entries recalled from it.
     """
 
     def __init__(self, size: int) -> None:
-        super().__init__()
-        self.most, self.size, self.old = size // 2, 0, {}
-
-    def put(self, key: str, value: bytes) -> None:
-        self.size += WORD_BYTES + len(key) + len(value)
-        self[key] = value
-
-    def recall(self, key: str) -> bool:
-        """Whether the key is known; brings it to the young half."""
-        if key in self:
-            return True
-        if (value := self.old.get(key)) is None:
-            return False
-        self.put(key, value)
-        return True
+        self.most, self.size = size // 2, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def put(self, keys: list[str], values: list[bytes]) -> None:
+        self.size += WORD_BYTES * len(keys) + sum(map(len, keys)) + sum(map(len, values))
+        self.young.update(zip(keys, values, strict=True))
+
+    def unknown(self, keys: set[str]) -> set[str]:
+        """Those of the keys that neither half knows; brings the others to the young half."""
+        missing = keys.difference(self.young)
+        old = self.old
+        if back := [k for k in missing if k in old] if old else None:
+            self.put(back, [old[k] for k in back])
+            missing.difference_update(back)
+        return missing
 
     def age(self) -> None:
         """To be called between uses; forgets only when the young half is full."""
         if self.size > self.most:
-            self.old = dict(self)
-            self.clear()
-            self.size = 0
+            self.old, self.young, self.size = self.young, {}, 0
 
 
 #: A comma or stop after a letter or digit (by any version of Unicode) and before white space: a token of its own.
@@ -128,29 +127,29 @@ class WordEncoder:
     def _learn(self, parts: set[str]) -> None:
         known = self.known
         plain: list[tuple[str, str, str]] = []
-        other, new, marks = [], set(), set()
+        other, words, marks = [], set(), set()
         for p in parts:
+            if p.isalpha() and p.isascii():
+                words.add(word := p.lower())
+                if word != p:
+                    plain.append((p, word, ""))
+                continue
             word = p.rstrip(self.MARKS)
             # beyond ASCII, a letter may be normalized to a letter and a mark of its own
             if word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha()):
                 mark, word = p[len(word) :], word.lower() if word.isascii() else word
-                if not known.recall(word):
-                    new.add(word)
+                words.add(word)
                 if mark:
                     marks.add(mark)
                 if word != p:
                     plain.append((p, word, mark))
             else:
                 other.append(p)
-        if new:
-            words = list(new)
-            for word, ids in zip(words, self._letter_words(words), strict=True):
-                known.put(word, ids)
-        ends = dict(zip(marks, self._each(list(marks)), strict=True))
-        for p, word, mark in plain:
-            known.put(p, known[word] + ends[mark] if mark else known[word])
-        for p, ids in zip(other, self._each(other), strict=True):
-            known.put(p, ids)
+        if new := list(known.unknown(words)):
+            known.put(new, self._letter_words(new))
+        ends, young = dict(zip(marks, self._each(list(marks)), strict=True)), known.young
+        known.put([p for p, _, _ in plain], [young[word] + ends[mark] if mark else young[word] for _, word, mark in plain])
+        known.put(other, self._each(other))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit bytes."""
@@ -160,9 +159,9 @@ class WordEncoder:
             for mark, pattern in _PARTED:
                 t = pattern.sub(mark, t)
             split.append(t.replace("\n", " ").split(" "))
-        if new := {w for w in set().union(*split) if w not in known and not known.recall(w)}:
+        if new := known.unknown(set().union(*split)):
             self._learn(new)
-        get = known.__getitem__
+        get = known.young.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 

@@ -311,7 +311,7 @@ def test_words_are_remembered_within_bounds():
     for low in range(0, 3000, 30):
         texts = ["common words, here! " + " ".join(f"w{'abcdefghij'[k % 10] * (k % 7)}{k}" for k in range(low, low + 30))]
         assert small.encode(texts) == plain.encode(texts)
-        assert len(small.known) + len(small.known.old) < 400
+        assert len(small.known.young) + len(small.known.old) < 400
 
 
 def test_small_partitions_are_differenced(spark):
