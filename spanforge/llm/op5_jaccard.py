@@ -386,6 +386,20 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(la, "a", "left").join(lb, "b", "left").select("*", F.coalesce("la", "a").alias("ca"), F.coalesce("lb", "b").alias("cb"))
 
 
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) after further edges (a, b); deletes ``labels``.
+
+    Only the edges between different components are followed.
+    """
+    ends = connected_labels(_labelled(edges, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    top = ends.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    old = labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    out = materialize(old.unionByName(ends.join(labels.select("node"), "node", "left_anti")))
+    discard(ends)
+    discard(labels)
+    return out
+
+
 def _memberships(runs: DataFrame) -> DataFrame:
     """(key, id) of the segments that several sets share."""
     return runs.select("key", F.col("member").alias("id")).union(runs.select("key", F.col("leader").alias("id")).distinct())
@@ -584,8 +598,7 @@ def set_components(texts: DataFrame, light: DataFrame, width: int = WIDTH, ident
     labels = connected_labels(links)
     rest = _labelled(votes.join(best, ["a", "b"], "left_anti").select("a", "b"), labels).where("ca <> cb").select("a", "b")
     more = materialize(verified(rest, sets))
-    discard(labels)
-    labels = connected_labels(links.union(more))
+    labels = _merged(labels, more)
     discard(sets)
     last = materialize(_open_members(members, labels, light))
     parts = [links, more]
@@ -596,8 +609,7 @@ def set_components(texts: DataFrame, light: DataFrame, width: int = WIDTH, ident
         parts.append(materialize(_blocked(rows).mapInArrow(_forest(80), "a long, b long")))
         discard(sets)
         discard(second)
-        discard(labels)
-        labels = connected_labels(links.union(more).union(parts[-1]))
+        labels = _merged(labels, parts[-1])
     for done in (members, votes, last, *parts):
         discard(done)
     return labels

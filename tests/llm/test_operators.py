@@ -229,6 +229,51 @@ def test_many_near_copies_of_which_few_link(spark, monkeypatch, change):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def joined_rows(spark, run):
+    """Rows that the joins of all queries of ``run`` made."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        bus.waitUntilEmpty(60_000)
+        found = store.executionsList()
+        return {found.apply(i).executionId() for i in range(found.size())}
+
+    before = executions()
+    run()
+    total = 0
+    for e in executions() - before:
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for n in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = n.metrics()
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                if "Join" in n.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_edges_of_a_found_component_are_not_joined_again(spark):
+    rng, n = np.random.default_rng(0), 300
+    ids = rng.permutation(4 * n) - n
+    # a large group with many heads, a chain in no order of ids, pairs, loops
+    group = [(h, k) for h in range(40) for k in range(n)]
+    edges = group + [(k, k + 1) for k in range(n, 2 * n - 1)] + [(k, k + 1) for k in range(2 * n, 3 * n, 2)] + [(k, k) for k in range(3 * n, 4 * n)]
+    df = spark.createDataFrame([(int(ids[a]), int(ids[b])) for a, b in edges], "a long, b long")
+    got = {}
+    made = joined_rows(spark, lambda: got.update((r["node"], r["label"]) for r in common.connected_labels(df).collect()))
+    parts = [ids[:n], ids[n : 2 * n], *(ids[k : k + 2] for k in range(2 * n, 3 * n, 2))]
+    assert got == {int(x): int(min(part)) for part in parts for x in part}
+    assert made < 3 * len(edges)
+
+
+def test_further_edges_join_components(spark):
+    frame = lambda rows, names: common.materialize(spark.createDataFrame(rows, names))
+    labels = frame([(1, 1), (4, 1), (2, 2), (5, 2), (3, 3), (6, 3)], "node long, label long")
+    # inside a component, between two, with a new node, between new nodes
+    further = frame([(4, 1), (5, 4), (0, 6), (9, 8)], "a long, b long")
+    got = {(r["node"], r["label"]) for r in op5_jaccard._merged(labels, further).collect()}
+    assert got == {(1, 1), (4, 1), (2, 1), (5, 1), (3, 0), (6, 0), (0, 0), (9, 8), (8, 8)}
+
+
 def test_a_block_gives_a_forest():
     texts = near_copies(300, 1)
     sets = op5_jaccard.Shingler().sets([t.encode() for t in texts])
