@@ -1,6 +1,7 @@
 import pyarrow as pa
 from pyspark.sql.types import StringType, StructField, StructType
 
+from spanforge.functions import structure
 from spanforge.operators import batches, documents
 
 
@@ -39,3 +40,14 @@ def test_batches_count_what_is_repeated_beside_the_content():
     wide = documents.per_text(Frame("beside content", [["w" * (1 << 20)] * 2, ["a b c d e f", "g"]]), lambda raw: [(x,) for x in raw.split()], "word string", [pa.string()])
     assert [r[1] for r in wide.rows()] == list("abcdefg")
     assert [n for n, _, _ in wide.made] == [4, 3]
+
+
+def test_no_piece_is_only_the_end_of_a_character():
+    for end in ("é", "€", "😀"):
+        for n in range(1790, 1812):
+            line = ("x" * n + end).encode()
+            pieces = structure.line_pieces(b"a\n" + line + b"\nb", 800)[1:-1]
+            assert [p for p in pieces if (b"a\n" + line)[p[0]] & 0xC0 == 0x80] == [] and pieces[-1][1] == 2 + len(line)
+            assert all((b"a\n" + line)[a:b].decode() for a, b in pieces)
+    # without overlap enough to hold it, the character's end is still in a piece
+    assert structure.char_pieces("aaaaaaaa😀".encode(), 10, 1) == [(0, 8), (9, 12)]
