@@ -51,3 +51,13 @@ def test_no_piece_is_only_the_end_of_a_character():
             assert all((b"a\n" + line)[a:b].decode() for a, b in pieces)
     # without overlap enough to hold it, the character's end is still in a piece
     assert structure.char_pieces("aaaaaaaa😀".encode(), 10, 1) == [(0, 8), (9, 12)]
+
+
+def test_soft_pieces_at_a_step_inside_the_last_character():
+    data = ("short\n\n" + "x" * 1799 + "é").encode()
+    assert structure.soft_pieces(data, 800) == [(0, 5), (7, 807), (607, 1407), (1207, 1808)]
+
+
+def test_a_null_content_has_no_pieces():
+    got = documents.soft_split(Frame("path content", [["a", "b"], [None, ""]]), 800)
+    assert got.rows() == [("b", 0, 0, 0)]
