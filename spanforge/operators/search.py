@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import cosine
+from spanforge.operators.batches import slices
 
 DEFAULT_K = 5
+#: Queries, and vectors, whose scores are held together: 8 MB of them.
+TILE = 1024
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int = DEFAULT_K, ties: tuple[str, ...] = ("path", "ord"), column: str = "embedding") -> DataFrame:
@@ -44,11 +47,35 @@ def matrix(vectors: pa.ListArray) -> np.ndarray:
     return out
 
 
+def _keep_best(best_s: np.ndarray, best_i: np.ndarray, s: np.ndarray, ids: np.ndarray) -> None:
+    """Puts the scores of a tile (queries by vectors) into each query's best ones, ties by id."""
+    k = best_s.shape[1]
+    least, last = best_s[:, -1:], best_i[:, -1:]
+    if s.shape[1] > k and (least == -np.inf).any():
+        # nothing below the tile's own k-th best can stay
+        least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, [s.shape[1] - k]])
+    hit = (s > least) | ((s == least) & ((s > best_s[:, -1:]) | (ids < last)))
+    row, col = np.nonzero(hit & (s > -np.inf))
+    if not len(row):
+        return
+    touched = np.unique(row)
+    row = np.concatenate((row, np.repeat(touched, k)))
+    both_s, both_i = np.concatenate((s[row[: len(col)], col], best_s[touched].ravel())), np.concatenate((ids[col], best_i[touched].ravel()))
+    order = np.lexsort((both_i, -both_s, row))
+    row = row[order]
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    rank = np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row)))
+    keep = rank < k
+    best_s[row[keep], rank[keep]], best_i[row[keep], rank[keep]] = both_s[order[keep]], both_i[order[keep]]
+
+
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", column: str = "embedding", most_queries: int = 10_000) -> DataFrame:
     """(query_id, id, score) of the k nearest for every query, in blocks of queries.
 
-    A block of queries goes to every task, which multiplies its batches by it and keeps
-    its own k best; only those are shuffled. More queries mean more blocks.
+    A block of queries goes to every task, which multiplies it by its vectors in tiles
+    of at most ``TILE`` queries and vectors and keeps its own k best; only those are
+    shuffled. More queries mean more blocks. All pairs are compared: time grows with the
+    number of queries times that of vectors, memory does not.
     """
     rows = queries.select(F.col(id_col).alias("q"), F.col(column).alias("v")).orderBy("q").toLocalIterator()
     parts, block = [], []
@@ -61,23 +88,19 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
 
         def run(batches):
             qid, unit = shared.value
-            best_s, best_i = [np.zeros(0)] * len(qid), [np.zeros(0, np.int64)] * len(qid)
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            best_s, best_i = np.full((len(qid), k), -np.inf), np.full((len(qid), k), np.iinfo(np.int64).max)
+            for b in slices(batches, TILE):
                 v, ids = matrix(b.column(1)), b.column(0).to_numpy()
                 n = np.linalg.norm(v, axis=1)
-                s = np.round(unit @ (v / np.where(n > 0, n, np.nan)[:, None]).T, 9)
-                s = np.where(np.isnan(s), -np.inf, s)
-                least = np.partition(s, max(s.shape[1] - k, 0), axis=1)[:, max(s.shape[1] - k, 0)]
-                for r in range(len(qid)):
-                    # what reaches the batch's k-th best score, ties by id
-                    at = np.flatnonzero(s[r] >= least[r])
-                    both_s, both_i = np.concatenate((best_s[r], s[r, at])), np.concatenate((best_i[r], ids[at]))
-                    keep = np.lexsort((both_i, -both_s))[:k]
-                    best_s[r], best_i[r] = both_s[keep], both_i[keep]
-            cols = [pa.array(np.repeat(qid, [len(x) for x in best_s])), pa.array(np.concatenate([np.zeros(0, np.int64), *best_i])), pa.array(np.concatenate([np.zeros(0), *best_s]))]
-            yield pa.RecordBatch.from_arrays(cols, ["query_id", "id", "score"])
+                v = v / np.where(n > 0, n, np.nan)[:, None]
+                for low in range(0, len(qid), TILE):
+                    s = np.round(unit[low : low + TILE] @ v.T, 9)
+                    _keep_best(best_s[low : low + TILE], best_i[low : low + TILE], np.where(np.isnan(s), -np.inf, s), ids)
+            found = best_s > -np.inf
+            for low in range(0, len(qid), TILE):
+                held = found[low : low + TILE]
+                cols = [pa.array(np.repeat(qid[low : low + TILE], held.sum(axis=1))), pa.array(best_i[low : low + TILE][held]), pa.array(best_s[low : low + TILE][held])]
+                yield pa.RecordBatch.from_arrays(cols, ["query_id", "id", "score"])
 
         return vectors.select(F.col(id_col).cast("long"), column).mapInArrow(run, "query_id long, id long, score double")
 

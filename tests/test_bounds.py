@@ -1,8 +1,12 @@
+import tracemalloc
+from types import SimpleNamespace
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql.types import StringType, StructField, StructType
 
 from spanforge.functions import structure
-from spanforge.operators import batches, documents
+from spanforge.operators import batches, documents, search
 
 
 class Frame:
@@ -61,3 +65,34 @@ def test_soft_pieces_at_a_step_inside_the_last_character():
 def test_a_null_content_has_no_pieces():
     got = documents.soft_split(Frame("path content", [["a", "b"], [None, ""]]), 800)
     assert got.rows() == [("b", 0, 0, 0)]
+
+
+def test_scores_of_many_queries_are_held_by_tiles(spark):
+    n, rng = 6000, np.random.default_rng(4)
+    v = rng.normal(size=(n, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(list(v), pa.list_(pa.float64()))], ["vec_id", "embedding"])
+    peak = []
+
+    class Vectors:
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+
+        def select(self, *_):
+            return self
+
+        def orderBy(self, *_):
+            return self
+
+        def toLocalIterator(self):
+            return ({"q": i, "v": x} for i, x in enumerate(v.tolist()))
+
+        def mapInArrow(self, run, _):
+            tracemalloc.start()
+            made = pa.Table.from_batches(run(iter([batch])))
+            peak.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            return spark.createDataFrame(made.to_pandas())
+
+    got = search.top_k_each(Vectors(), Vectors(), 3).where("query_id % 1500 = 7").orderBy("query_id", "rank").collect()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert [r["id"] for r in got] == [i for q in (7, 1507, 3007, 4507) for i in np.argsort(-(unit @ unit[q]))[:3]]
+    assert peak[0] < 100 << 20  # all scores at once are 288 MB
