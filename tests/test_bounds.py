@@ -3,6 +3,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql.types import StringType, StructField, StructType
 
 from spanforge.functions import structure
@@ -96,3 +97,11 @@ def test_scores_of_many_queries_are_held_by_tiles(spark):
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     assert [r["id"] for r in got] == [i for q in (7, 1507, 3007, 4507) for i in np.argsort(-(unit @ unit[q]))[:3]]
     assert peak[0] < 100 << 20  # all scores at once are 288 MB
+
+
+@pytest.mark.parametrize("operator", [documents.headed_chunks, documents.paragraphs_as_chunks, documents.markdown_paragraphs])
+def test_pieces_of_a_long_text_leave_in_bounded_batches(operator):
+    got = operator(Frame("path text", [["a"], ["# t\n\n" + "word word\n\n" * 20_000]]))
+    assert sum(n for n, _, _ in got.made) == 20_001
+    assert got.peak < 16 << 20  # 20001 times the content are 4 GB
+    assert len(got.made) > 1 and all(size <= 2 * batches.OUT_BYTES for _, size, _ in got.made)
