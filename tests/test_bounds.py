@@ -105,3 +105,30 @@ def test_pieces_of_a_long_text_leave_in_bounded_batches(operator):
     assert sum(n for n, _, _ in got.made) == 20_001
     assert got.peak < 16 << 20  # 20001 times the content are 4 GB
     assert len(got.made) > 1 and all(size <= 2 * batches.OUT_BYTES for _, size, _ in got.made)
+
+
+def test_sums_of_bytes_need_no_array_of_places():
+    data = bytes(range(256)) * (1 << 14)
+    tracemalloc.start()
+    frame = documents.byte_vectors(Frame("text", [[data.decode("latin-1"), None, "abc"]]), "text", 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    raw = np.frombuffer(data.decode("latin-1").encode(), np.uint8).astype(int)
+    assert [r[1] for r in frame.rows()] == [[raw[::2].sum(), raw[1::2].sum()], [0, 0], [97 + 99, 98]]
+    assert peak < 8 * len(raw)  # one array of places takes as much
+
+
+def test_reconstructed_rows_leave_in_bounded_batches():
+    data = "# " + "t" * 2000 + "\n" + "word\n" * 10_000
+    spans = [{"ord": i, "start": 2003 + 5 * i, "end": 2007 + 5 * i} for i in range(10_000)]
+
+    class Files(Frame):
+        def select(self, *_):
+            return self
+
+    files = Files("path content grammar comment spans", [["a.md"], [data.encode()], [""], [""], [spans]])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(documents.F, "col", lambda _: type("C", (), {"cast": lambda self, _: None})())
+        documents.reconstruct(files)
+    assert sum(n for n, _, _ in files.made) == 10_000 and files.made[0][2]["text"][0] == "word"
+    assert len(files.made) > 5 and all(size <= 2 * batches.OUT_BYTES for _, size, _ in files.made)
