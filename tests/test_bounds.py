@@ -107,6 +107,17 @@ def test_pieces_of_a_long_text_leave_in_bounded_batches(operator):
     assert len(got.made) > 1 and all(size <= 2 * batches.OUT_BYTES for _, size, _ in got.made)
 
 
+def test_contextual_vectors_leave_without_texts():
+    from spanforge.plans import catalog
+
+    docs = Frame("path text", [["a"], ["# t\n\n" + "word word\n\n" * 20_000]])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(catalog, "md_docs", lambda *_: docs)
+        catalog._contextual(None, "")
+    assert sum(n for n, _, _ in docs.made) == 20_001 and list(docs.made[0][2]) == ["path", "ord", "start", "end", "embedding"]
+    assert docs.peak < 16 << 20 and all(size <= 2 * batches.OUT_BYTES for _, size, _ in docs.made)
+
+
 def test_sums_of_bytes_need_no_array_of_places():
     data = bytes(range(256)) * (1 << 14)
     tracemalloc.start()
